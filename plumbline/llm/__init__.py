@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["topn", "neardup", "crosssplit", "consensus", "names"]
+_MODULES = ["matching", "names", "neardup", "consensus", "topn", "crosssplit"]
 
 
 def modules():
