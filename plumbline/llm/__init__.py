@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["matching", "names", "neardup", "consensus", "topn", "crosssplit", "leakage", "quality"]
+_MODULES = ["matching", "names", "neardup", "consensus", "topn", "crosssplit", "packing", "leakage", "quality"]
 
 
 def modules():
