@@ -36,36 +36,6 @@ from ..sources.tables import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to that vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHARD_TOKENS`` tokens. Each shard is packed in
-decreasing order: a piece goes to the open container that has room under every
-constraint and wins by ``score``: ``dot`` takes the greatest weighted dot
-product of the piece and the room left, ``norm`` the least weighted norm of
-the room that stays. Containers under ``REPACK`` full are opened again and
-their pieces packed a second time, many shards to one, so that what a shard
-can't fill isn't lost.
-
-Defined cases: null and empty texts have no tokens and no container; repeated
-documents are packed each; no documents give no rows; containers with null or
-non-positive capacity are left out.
-"""
-
-from __future__ import annotations
-
-import base64
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..plans.shared import materialize
-from ..sources.tables import table
-
-#: Vocabulary file, a parameter; the file isn't part of this package.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The split pattern that belongs to that vocabulary (fixed value).
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 SHARD_TOKENS = 1_500_000
 SECOND_SHARDS = 64
 REPACK = 0.98
