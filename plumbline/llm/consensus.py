@@ -180,7 +180,7 @@ def _graded(logs: np.ndarray, prior: np.ndarray):
         for b in batches:
             if b.num_rows:
                 p = posteriors(b.column(2), b.column(3), logs, prior)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p.max(axis=1)), pa.array(np.diff(b.column(2).offsets.to_numpy()).astype(np.int32))], names=["statement_id", "doc_id", "stored", "grade", "confidence", "n_votes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(p.max(axis=1)), b.column(5)], names=["statement_id", "doc_id", "stored", "grade", "confidence", "n_votes"])
 
     return run
 
@@ -190,7 +190,9 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, names = _items(spark, sf_dir)
     conf, prior = model(items, names)
     logs = np.log(conf.transpose(0, 2, 1).reshape(-1, GRADES))
-    out = items.mapInArrow(_graded(logs, prior), "statement_id string, doc_id string, stored int, grade int, confidence double, n_votes int")
+    stored = names.index(STORED) if STORED in names else -1
+    n_votes = F.size(F.filter("codes", lambda c: F.floor(c / GRADES) != stored))
+    out = items.select("statement_id", "doc_id", "codes", "weights", "stored", n_votes.alias("n_votes")).mapInArrow(_graded(logs, prior), "statement_id string, doc_id string, stored int, grade int, confidence double, n_votes int")
     grade = F.when((F.col("n_votes") == 0) & F.col("stored").isNotNull(), F.col("stored")).otherwise(F.col("grade"))
     return out.select("statement_id", "doc_id", grade.cast("int").alias("relevance_score"), "confidence")
 
