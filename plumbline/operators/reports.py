@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,7 +37,7 @@ def token_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Deterministic stub of a relevance model: share of the query's words in the document."""
 
     def one(x: str, y: str) -> float:
-        q, t = set((x or "").lower().split()), set((y or "").lower().split())
+        q, t = (set(re.split(r"[ \t\n\r\f\v]+", (z or "").lower())) - {""} for z in (x, y))
         return len(q & t) / max(1, len(q))
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
