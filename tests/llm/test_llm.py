@@ -344,3 +344,29 @@ def test_sql(spark, data):
 
 
 assert datetime
+
+
+def test_clashing_columns_and_nulls_everywhere(spark, folder):
+    """Inputs with columns named as the operators' own, and rows of nulls alone."""
+    hits = "query_id string, subject_id string, bit_score double, search string, hit_id string, id string, g0 string, rank int"
+    chem = "query_id string, chemical_id string, similarity double, score double"
+    d = folder(blast_hits=spark.createDataFrame([("q", "a", 1.0, "x", "y", "z", "w", 5), (None,) * 8], hits), chemical_hits=spark.createDataFrame([("q", "c", 0.5, 9.0), (None,) * 4], chem))
+    assert {tuple(r) for r in topn.p6_found(spark, d).collect()} == {("blast", "q", "a"), ("chemical", "q", "c")}
+
+
+def test_corpus_with_clashing_columns(spark, folder):
+    t = " ".join(text(50, 77))
+    rows = [("A", "t", t, 1, "k", "f"), ("B", "t", t, 2, "k", "f"), (None, None, None, None, None, None), ("C", "", t, 3, "", ""), ("D", "t", None, 4, "", "")]
+    d = folder(corpus=spark.createDataFrame(rows, "_id string, title string, text string, uid int, key string, fp string"))
+    assert [tuple(r) for r in neardup.p4_found(spark, d).collect()] == [("A", "B")]
+    assert {(r.doc_id, r.group_id, r.group_size) for r in neardup.p4_groups(spark, d).collect()} == {("A", "A", 2), ("B", "A", 2)}
+
+
+def test_empty_corpus_and_queries(spark, folder):
+    d = folder(corpus=spark.createDataFrame([], "_id string, title string, text string"), queries=spark.createDataFrame([], "query_no bigint, _id string, text string, split string, source string"))
+    assert neardup.p4_found(spark, d).count() == 0 and crosssplit.p7_found(spark, d).count() == 0
+
+
+def test_names_of_nothing(spark, folder):
+    d = folder(parsed_citations=spark.createDataFrame([(None, None)], "authors array<string>, raw_text string"), short_names=spark.createDataFrame([], "given_name string, short_name string"))
+    assert names.p3_found(spark, d).count() == 0
