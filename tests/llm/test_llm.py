@@ -204,6 +204,22 @@ def test_matching(spark, folder):
     assert {(r.citation_id, r.paper_id) for r in matching.p1_found(spark, d).collect()} == {(1, "W1"), (2, "W2")}
 
 
+OFTEN = ["colitis", "saliva", "enterocytes"]
+
+
+def often(n=120):
+    """Papers that share the frequent title words, two each, and nothing else."""
+    return [(f"F{i}", f"{OFTEN[i % 3]} {OFTEN[(i + 1) % 3]} " + " ".join(text(5, 500 + i)), [f"Author{VOCABULARY[i]}"], f"Notes {i}", str(1950 + i % 20)) for i in range(n)]
+
+
+def test_matching_by_frequent_words(spark, folder):
+    """Title words of more than RARE papers count together with an author, or with journal and year."""
+    p = [("W1", "Colitis saliva enterocytes Leldinrase", ["Olvira Zobasbodan"], "Archives of Peptide Dynamics", "2005-03-01"), ("W2", "Colitis saliva enterocytes Henhermide", ["Hadrik Barmarbeme"], "Letters on Toxin Studies", "2009")]
+    c = [(1, "P", "Colitis saliva enterocytes", ["Zobasbodna, O."], "Arch. Pept. Dyn.", 2004, None), (2, "Q", "Colitis saliva enterocytes", ["H Barmarbeme"], None, 2014, None)]
+    d = folder(papers=spark.createDataFrame(p + often(), PAPERS), parsed_citations=spark.createDataFrame(c, CITED))
+    assert {(r.citation_id, r.paper_id) for r in matching.p1_found(spark, d).collect()} == {(1, "W1"), (2, "W2")}
+
+
 def test_propagation_keeps_one_paper(spark):
     pairs = spark.createDataFrame([(1, 1, "P", 4.0), (1, 2, "P", 2.0), (2, 2, "P", 3.0), (3, 3, None, -1.0)], "c bigint, p bigint, patent string, s double")
     got = {(r.c, r.p): r.confidence for r in matching.propagate(pairs).collect()}
