@@ -220,6 +220,24 @@ def test_matching_by_frequent_words(spark, folder):
     assert {(r.citation_id, r.paper_id) for r in matching.p1_found(spark, d).collect()} == {(1, "W1"), (2, "W2")}
 
 
+def test_matching_without_title(spark, folder):
+    """Author and year, author and journal, or authors alone suffice, whatever a damaged field says."""
+    six = [f"{g} {s}" for g, s in zip(["Olvira", "Hadrik", "Calliste", "Gerwald", "Lucella", "Silvane"], ["Zobasbodan", "Barmarbeme", "Zintesrerne", "Pospolporpon", "Sofurnanze", "Haszasperji"])]
+    p = [("W1", "Rapid filtration of Leldinrase", ["Rosalka Zilbenbundin", "Valdemar Konkinkenkan"], "Journal of Ligand Craft", "2022"), ("W2", "Role of Henhermide", six, "Notes", "2009"), ("W3", "Uses of Tengosane", ["Kelvan Ralhorvallor", "Brunella Selropurpas", "Jorund Vusfukilpen", "Ottmar Gulbenrostan"], "Archives of Peptide Dynamics", "2001")]
+    c = [(1, "P", None, ["R. Zilbenbundin", "V. Konkinkenkan"], "Journa lof Ligand Craft", 2022, None), (2, "Q", None, six, None, None, None), (3, "R", None, ["Kelvan Ralhorvallor", "Brunella Selropurpas", "Jorund Vusfukilpen", "Ottmar Gulbenrostan"], "Arch. Pept. Dyn.", 2003, None)]
+    d = folder(papers=spark.createDataFrame(p, PAPERS), parsed_citations=spark.createDataFrame(c, CITED))
+    assert {(r.citation_id, r.paper_id) for r in matching.p1_found(spark, d).collect()} == {(1, "W1"), (2, "W2"), (3, "W3")}
+
+
+def test_title_bound_holds():
+    r = random.Random(5)
+    for _ in range(3000):
+        x, y = (sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 5))}) for _ in range(2))
+        a, b = (matching._read_title(" ".join(f"{w} {r.randint(1, 900)}" for w in t)) for t in (x, y))
+        t, back, _ = matching.title_similarity(*a[:2], *b[:2])
+        assert t <= matching._at_most(a, b) + 1e-9 and back <= matching._at_most(b, a) + 1e-9
+
+
 def test_propagation_keeps_one_paper(spark):
     pairs = spark.createDataFrame([(1, 1, "P", 4.0), (1, 2, "P", 2.0), (2, 2, "P", 3.0), (3, 3, None, -1.0)], "c bigint, p bigint, patent string, s double")
     got = {(r.c, r.p): r.confidence for r in matching.propagate(pairs).collect()}
