@@ -229,6 +229,14 @@ def test_matching_without_title(spark, folder):
     assert {(r.citation_id, r.paper_id) for r in matching.p1_found(spark, d).collect()} == {(1, "W1"), (2, "W2"), (3, "W3")}
 
 
+def test_matching_with_slips_in_author_and_journal(spark, folder):
+    """A misspelt surname with a journal slip, or with a year far off, doesn't rule a pair out."""
+    p = [("W1", "High-affinity lysate of Velrusgurycin for the treatment of colitis", ["Pellian Zajirulfin"], "Journal of Ligand Craft", "1993"), ("W2", "Rapid filtration of Leldinrase from human enterocytes", ["Olvira Zobasbodan"], "Archives of Peptide Dynamics", "2005")]
+    c = [(1, "P", "high-affinity lysate of velrusgurycin for the treatment of colitis", ["Zajriulfin, Pellian"], "Journal of LigandC raft", 1993, None), (2, "Q", "Rapid filtration of Leldinrase from human enterocytes", ["Zobasbodna, Olvira"], "Archives of Peptide Dynamics", 2009, None)]
+    d = folder(papers=spark.createDataFrame(p, PAPERS), parsed_citations=spark.createDataFrame(c, CITED))
+    assert {(r.citation_id, r.paper_id) for r in matching.p1_found(spark, d).collect()} == {(1, "W1"), (2, "W2")}
+
+
 def test_title_bound_holds():
     r = random.Random(5)
     for _ in range(3000):
