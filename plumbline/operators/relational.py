@@ -184,6 +184,31 @@ def _domain(spark, d):
     return a.join(b, "query_no").groupBy("split", F.when(F.arrays_overlap("a", "b"), "IN").otherwise("OUT").alias("domain_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Concepts and their classes; the given tables' ids of up to three digits stand for the entry of
+#: their number's remainder.
+CONCEPT_CLASSES = (("C71924100", "A61"), ("C126322002", "A61B A61F"), ("C203014093", "A61K"), ("C502942594", "A61P"), ("C185592680", "C07"), ("C178790620", "C07D"), ("C55493867", "C07K"), ("C86803240", "C12"), ("C54355233", "C12N"), ("C104317684", "C12Q"), ("C76155785", "G01N"))
+_CLASS_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs.split())
+
+
+@CAT.query("join_qrels_domain", withs("qrels") + f""", m(i, id, cls) AS (VALUES {_CLASS_ROWS}),
+q AS (SELECT DISTINCT query_id, CASE WHEN regexp_matches(c, '^.{{3}}[A-Za-z]') THEN substr(c, 1, 4) ELSE substr(c, 1, 3) END AS cls FROM (SELECT _id AS query_id, unnest(ipc_codes) AS c FROM queries) WHERE length(c) >= 3),
+p AS (SELECT DISTINCT doc_id, cls FROM (SELECT paper_id AS doc_id, regexp_extract(x.id, '[^/]*$') AS id FROM (SELECT paper_id, unnest(concepts) AS x FROM papers)) c JOIN m ON m.id = c.id OR m.i = try_cast(nullif(regexp_extract(c.id, '^C([0-9]{{1,3}})$', 1), '') AS INT) % {len(CONCEPT_CLASSES)}),
+b AS (SELECT DISTINCT query_id, doc_id FROM qrels JOIN q USING (query_id) JOIN p USING (doc_id) WHERE q.cls = p.cls)
+SELECT query_id, doc_id, relevance, CASE WHEN b.doc_id IS NULL THEN 'OUT' ELSE 'IN' END AS domain_type FROM qrels LEFT JOIN b USING (query_id, doc_id)""")
+def _qrels_domain(spark, d):
+    """Every judged pair, IN where query and paper share a class; a missing side is OUT."""
+    c = F.col("c")
+    q = table(spark, d, "queries").select(F.col("_id").alias("query_id"), F.explode("ipc_codes").alias("c")).where("length(c) >= 3")
+    q = q.groupBy("query_id").agg(F.collect_set(F.when(c.rlike("^.{3}[A-Za-z]"), F.substring(c, 1, 4)).otherwise(F.substring(c, 1, 3))).alias("a"))
+    listed = F.array(*(F.split(F.lit(cs), " ") for _, cs in CONCEPT_CLASSES))
+    known = F.array(*(F.lit(k) for k, _ in CONCEPT_CLASSES))
+    i = F.coalesce(F.nullif(F.array_position(known, F.col("id")), F.lit(0)) - 1, F.expr(f"try_cast(nullif(regexp_extract(id, '^C([0-9]{{1,3}})$', 1), '') AS INT) % {len(CONCEPT_CLASSES)}"))
+    p = table(spark, d, "papers").select(F.col("paper_id").alias("doc_id"), F.explode("concepts").alias("x")).select("doc_id", F.substring_index("x.id", "/", -1).alias("id"))
+    p = p.select("doc_id", F.explode(F.get(listed, i.cast("int"))).alias("c")).groupBy("doc_id").agg(F.collect_set("c").alias("b"))
+    shared = F.coalesce(F.arrays_overlap("a", "b"), F.lit(False))
+    return rel(spark, d, "qrels").join(q, "query_id", "left").join(p, "doc_id", "left").select("query_id", "doc_id", "relevance", F.when(shared, "IN").otherwise("OUT").alias("domain_type"))
+
+
 @CAT.query("join_corpus_to_queries", withs("corpus1", "qrels") + "SELECT doc_id, doc_type FROM corpus1 WHERE doc_id IN (SELECT doc_id FROM qrels WHERE query_id IN (SELECT _id FROM queries WHERE split = 'test'))")
 def _to_queries(spark, d):
     q = table(spark, d, "queries").where("split = 'test'").select(F.col("_id").alias("query_id"))

@@ -143,6 +143,15 @@ def test_bootstrap_is_reproducible():
     assert stats.bootstrap(np.ones(5), 100)[1:] == (1.0, 1.0)
 
 
+def test_every_judged_pair_has_a_domain(spark, folder):
+    q = [("A", ["C07K14/05", "A61"]), ("A", []), ("B", ["G01N33/5"]), ("C", None)]
+    p = [("W1", [("https://openalex.org/C55493867",)]), ("W2", [("C10",)]), ("W3", None)]
+    l = [("A", "W1", 3), ("A", "W2", 0), ("B", "W2", 1), ("B", "W3", 2), ("C", "W1", 1), ("X", "W1", 1), (" A", "X ", 2)]
+    d = folder(queries=spark.createDataFrame(q, "_id string, ipc_codes array<string>"), papers=spark.createDataFrame(p, "paper_id string, concepts array<struct<id: string>>"), consensus_labels=spark.createDataFrame(l, "statement_id string, doc_id string, consensus_score int"))
+    got = {(r.query_id, r.doc_id): r.domain_type for r in entry.queries()["join_qrels_domain"](spark, d).collect()}
+    assert {k for k, v in got.items() if v == "IN"} == {("A", "W1"), ("B", "W2")} and len(got) == 7
+
+
 def test_shared_tables(spark):
     df = materialize(spark.range(10), "test")
     assert df.count() == 10 and small(df)
