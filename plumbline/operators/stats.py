@@ -216,7 +216,7 @@ def bootstrap(values: np.ndarray, draws: int = 10_000, confidence: float = 0.95,
 
 def _booted(by: list[str], value: str):
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        m, lo, hi = bootstrap(p.sort_values("query_id")[value].to_numpy(), draws=2000)
+        m, lo, hi = bootstrap(p.sort_values("query_id")[value].to_numpy())
         return pd.DataFrame({**{b: [p[b].iloc[0]] for b in by}, "mean": [m], "lower": [lo], "upper": [hi], "significant": [bool(lo > 0 or hi < 0)]})
 
     return run

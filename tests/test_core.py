@@ -152,6 +152,15 @@ def test_every_judged_pair_has_a_domain(spark, folder):
     assert {k for k, v in got.items() if v == "IN"} == {("A", "W1"), ("B", "W2")} and len(got) == 7
 
 
+def test_booted_takes_the_default_draws():
+    import numpy as np
+    import pandas as pd
+
+    v = np.random.RandomState(2).rand(40)
+    got = stats._booted(["system"], "x")(pd.DataFrame({"system": "a", "query_id": [f"{i:02}" for i in range(40)], "x": v})).iloc[0]
+    assert (got["mean"], got["lower"], got["upper"]) == stats.bootstrap(v, 10_000)
+
+
 def test_shared_tables(spark):
     df = materialize(spark.range(10), "test")
     assert df.count() == 10 and small(df)
