@@ -177,7 +177,7 @@ class ItemIndex:
         gain, loss = np.where(rare, 1.5, 0.8), np.where(rare, -1.5, -0.8)
         out = []
         free = y.copy()
-        for _ in range(4):
+        while True:  # ends: each alignment takes its words out of the document
             got = self._align(x, free, gain, loss)
             if got is None:
                 break
@@ -188,7 +188,7 @@ class ItemIndex:
             r = rare[inside]
             if len(hit) >= 5 and (not r.any() or span[inside][r].mean() >= 0.6):
                 out.append((a, z, z - a + 1, c, d))
-            free[c : d + 1] = -1
+            free[min(c, d) : d + 1] = -1
         return out
 
     @staticmethod

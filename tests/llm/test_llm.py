@@ -331,6 +331,16 @@ def test_multi_index_finds_all_within_radius():
     assert found == want
 
 
+def test_stretches_beyond_repeats():
+    """A weaker stretch is found though a stronger one stands in the document six times."""
+    from types import SimpleNamespace
+
+    item = [f"word{i}" for i in range(30)]
+    doc = [w for k in range(6) for w in item[:10] + [f"other{k}x{i}" for i in range(30)]] + item[20:26]
+    got = leakage.ItemIndex.stretches(SimpleNamespace(common=set(), _align=leakage.ItemIndex._align), item, doc)
+    assert sorted((a, z) for a, z, *_ in got) == [(0, 9)] * 6 + [(20, 25)]
+
+
 def test_leaks_of_nothing(spark):
     e, n = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leakage.leaks(e, n).count() == 0
