@@ -6,27 +6,30 @@ punctuation, alphabetic and common words, repeated lines. ``failures`` applies
 published fixed thresholds to them and records a reason per failed rule.
 
 Those rules judge a document as a whole. Whether more than half of its
-characters are running sentences is decided on its parts: ``prose_share``
-cuts a document into lines, joined where a sentence runs on, and applies the
-same kinds of statistics with fixed thresholds to each part, recording the
-reason by which most characters fail (delimited table, bullets, dotted
-leaders, log or markup lines, codes without blanks, symbols, encoding damage,
-repetition, word salad, fragments). No language is assumed: the common words
-of all languages given are used together.
+characters are running sentences is decided by the same statistics on its
+parts: ``part_statistics`` cuts texts into lines, joined where a sentence runs
+on, and those into sentences, and computes length, letters, symbols,
+punctuation, bullets, delimiters and common words of all parts of a batch at
+once, as columns; ``part_failures`` applies fixed thresholds and records the
+reason of each failing part. ``prose_share`` sums both per document. No text is
+visited by itself: everything runs on Arrow and numpy columns. No language is
+assumed: the common words of all languages given are used together.
 
 Defined cases: null text gives null statistics and no verdict; blank text has
-zero words, fails ``word_count`` and is no case; documents are read whole.
+zero words, fails ``word_count`` and is no case; documents are read whole, a
+batch is cut between documents only.
 """
 
 from __future__ import annotations
 
+import functools
 import html
-import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,181 +47,250 @@ MIN_ALPHA_WORDS = 0.8
 MIN_COMMON_WORDS = 2
 MAX_REPEATED_LINES = 0.3
 
-#: More common words than this can't be shipped to tasks.
-COMMON_LIMIT = 20_000
+#: Texts of a batch are worked on together up to this many bytes; one longer text by itself.
+CHUNK_BYTES = 4 << 20
+
+#: Fixed thresholds on parts: a line under SHORT characters may be a menu entry, one of WRAPPED or
+#: more runs on into the next; letters of a closed and of an open sentence; words of a closed and of
+#: an open one; common words and commas of an open one; repetitions; symbols and encoding damage.
+SHORT, WRAPPED = 60, 45
+MIN_LETTERS_CLOSED, MIN_LETTERS_OPEN = 0.33, 0.45
+MIN_WORDS_CLOSED, MIN_WORDS_OPEN = 3, 9
+MIN_COMMON_OPEN, MAX_COMMAS_OPEN = 0.12, 0.3
+REPEATS = 3
+MAX_SYMBOLS, MAX_DAMAGE = 0.08, 0.03
+MENU_LINES, MENU_OPEN = 4, 0.3
+SALAD_ARTICLES, MAX_SALAD = 3, 0.15
 
 #: Words after which a noun phrase must go on (fixed values).
-ARTICLES = frozenset("the a an der die das den dem des ein eine einen einem einer le la les un une".split())
+ARTICLES = ("the", "a", "an", "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "le", "la", "les", "un", "une")
 #: Common words that may follow an article (fixed values).
-AFTER_ARTICLE = frozenset("first one two most more other only further so such all both plus été".split())
-
-_BULLET = re.compile(r"^\s*(?:[-*•–—·‣◦]|\(?\d{1,4}[.)\]]|\[\d{1,5}\]|\(?[a-z][.)])\s+")
-_END = re.compile(r"[.!?…][\"'”’»)\]]*$")
-_WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+(?=\S)")
-_ODD = frozenset("ÂÃ€™œ¢§¶�©¤¬¦¨¯´¸ð¿¡")
-_PLAIN = frozenset(" .,;:'\"()/-–—°%µμ’‘“”„!?[]+±×·&\n\t")
-
-
-def _table_line(s: str) -> str | None:
-    """Reason why one line by itself is no prose."""
-    body = s.strip()
-    if re.fullmatch(r"[-=_*~.#+|\s]+", body):
-        return "symbols"
-    if re.match(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d", body):
-        return "log"
-    if re.search(r"</?(?:td|tr|table|li|ul|div|th)\b", body, re.I) or re.match(r"^[{\[].*[\"']\s*:", body) or re.match(r"^<[^>]+>$", body):
-        return "markup"
-    if body.count("\t") >= 2 or body.count("|") >= 2 or len(re.findall(r"\S(?: {2,}|\t)(?=\S)", body)) >= 2 or len(re.findall(r"[^\s,],(?=[^\s,]|$)", body)) >= 3 and ", " not in body:
-        return "table"
-    if re.search(r"(?:\.\s?){5,}\s*\d*$", body):
-        return "leaders"
-    if re.match(r"^\[\d+\]", body) and re.search(r"\(\d{4}\)\.?$", body):
-        return "references"
-    longest = max((len(w) for w in body.split()), default=0)
-    if longest > 45 and not re.search(r"https?://", body):
-        return "codes"
-    if re.match(r"^\d+(?: [a-z]{1,10}){2,6}$", body) or (re.fullmatch(r"(?:[acgtun]{10} ?){2,}[acgtun]*", body)):
-        return "codes"
-    if body.startswith(">") and " " not in body or (len(body) >= 25 and " " not in body):
-        return "codes"
-    return None
-
-
-def _damaged(s: str) -> str | None:
-    n = len(s)
-    odd = sum(c in _ODD for c in s)
-    if odd > 0.03 * n:
-        return "encoding"
-    symbols = sum(not (c.isalnum() or c in _PLAIN) for c in s)
-    if symbols > 0.08 * n:
-        return "symbols"
-    return None
-
-
-def parts(text: str, common: frozenset[str]) -> list[tuple[str, str | None]]:
-    """Chunks of the text (sentences, table lines ...), each with the reason why it
-    is no prose, or None."""
-    text = unicodedata.normalize("NFKC", html.unescape(text).replace("\u00ad", "").replace("\u200b", "")) if "&" in text else unicodedata.normalize("NFKC", text.replace("\u00ad", "").replace("\u200b", ""))
-    if "\ufffd" in text or "Ã" in text:
-        text = text.replace("\r", "\n")
-    lines = text.split("\n")
-    plain = Counter(re.sub(r"\W+", " ", s).strip().lower() for s in lines if s.strip())
-    out: list[tuple[str, str | None]] = []
-    chunk: list[str] = []
-    short: list[tuple[int, int, bool]] = []  # the run of short lines by themselves: where in out, and whether ended
-
-    def menu() -> None:
-        if len(short) >= 4 and sum(not e for *_, e in short) >= 0.3 * len(short):
-            for lo, hi, _ in short:
-                out[lo:hi] = [(t, why or "menu") for t, why in out[lo:hi]]
-        short.clear()
-
-    def close() -> None:
-        if chunk:
-            lo, alone = len(out), len(chunk) == 1 and len(chunk[0].strip()) < 60
-            ended = bool(_END.search(chunk[0].strip()))
-            out.extend(_judged(" ".join(x.strip() for x in chunk), common))
-            chunk.clear()
-            if alone:
-                short.append((lo, len(out), ended))
-            else:
-                menu()
-
-    for s in lines:
-        body = s.strip()
-        if not body:
-            close()
-            menu()
-            continue
-        why = _table_line(s)
-        if why is None and plain[re.sub(r"\W+", " ", s).strip().lower()] >= 3:
-            why = "repeated"
-        if why is not None:
-            close()
-            if why == "repeated" and len(body) < 60:
-                short.append((len(out), len(out) + 1, bool(_END.search(body))))
-            else:
-                menu()
-            out.append((body, why))
-            continue
-        if chunk:
-            last = chunk[-1].rstrip()
-            tail = _WORD.findall(last[-20:])
-            runs_on = not _END.search(last) and not _BULLET.match(s) and (body[0].islower() or body[0].isdigit() or len(last) >= 45 or last[-1] in ",;-" or (tail and tail[-1].lower() in common))
-            runs_on = runs_on or (_END.search(last) and len(last) >= 45 and not _BULLET.match(s))
-            if not runs_on:
-                close()
-        chunk.append(s)
-    close()
-    menu()
-    seen = Counter(re.sub(r"\W+", " ", t).strip().lower() for t, why in out if why is None)
-    return [(t, "repeated" if why is None and seen[re.sub(r"\W+", " ", t).strip().lower()] >= 3 else why) for t, why in out]
-
-
-def _salad(words: list[str], common: frozenset[str]) -> bool:
-    """Articles followed by words that can't follow one: words in no order."""
-    hit = total = 0
-    for a, b in zip(words, words[1:]):
-        if a in ARTICLES:
-            total += 1
-            hit += b in common and b not in AFTER_ARTICLE
-    return total >= 3 and hit > 0.15 * total
-
-
-def _judged(text: str, common: frozenset[str]) -> list[tuple[str, str | None]]:
-    """Sentences of one run of text with their verdicts."""
-    bare = _BULLET.sub("", text, count=1)
-    if (why := _damaged(bare)) is not None:
-        return [(text, why)]
-    words = [w.lower() for w in re.findall(r"[^\W_]+", bare)]
-    if _salad(words, common):
-        return [(text, "salad")]
+AFTER_ARTICLE = ("first", "one", "two", "most", "more", "other", "only", "further", "so", "such", "all", "both", "plus", "été")
+#: Characters that wrongly decoded text is full of, and those that prose may hold besides letters and digits (fixed values).
+DAMAGE = "ÂÃ€™œ¢§¶\ufffd©¤¬¦¨¯´¸ð¿¡"
+PLAIN = " .,;:'\"()/-–—°%µμ’‘“”„!?[]+±×·&\n\t"
+
+REASONS = ("", "symbols", "log", "markup", "table", "leaders", "references", "codes", "repeated", "menu", "encoding", "salad", "digits", "fragment", "bullets")
+_CODE = {r: k for k, r in enumerate(REASONS)}
+
+_BULLET = r"^\s*(?:[-*•–—·‣◦]|\(?\d{1,4}[.)\]]|\[\d{1,5}\]|\(?[a-z][.)])\s+"
+_END = r"[.!?…][\"'”’»)\]]*$"
+#: Reasons why one line by itself is no prose, the first that holds.
+_LINE_RULES = (
+    ("symbols", r"^[-=_*~.#+|\s]+$"),
+    ("log", r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"),
+    ("markup", r"(?i)</?(?:td|tr|table|li|ul|div|th)\b"),
+    ("markup", r"^(?:[{\[].*[\"']\s*:|<[^>]+>$)"),
+    ("table", r"\t.*\t|\|.*\||\S(?: {2,}|\t)\S.*\S(?: {2,}|\t)\S"),
+    ("leaders", r"(?:\.\s?){5,}\s*\d*$"),
+    ("references", r"^\[\d+\].*\(\d{4}\)\.?$"),
+    ("codes", r"^\d+(?: [a-z]{1,10}){2,6}$|^(?:[acgtun]{10} ?){2,}[acgtun]*$|^>\S*$|^\S{25,}$"),
+)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Bits of each character: 1 letter, 2 symbol, 4 sign of damage, 8 comma or semicolon."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for k in range(0x30000):
+        c = chr(k)
+        out[k] = c.isalpha() | (not (c.isalnum() or c in PLAIN)) << 1 | (c in DAMAGE) << 2 | (c in ",;") << 3
+    return out
+
+
+def _cleaned(text: str) -> str:
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text.replace("\u00ad", "").replace("\u200b", ""))
+        if "\ufffd" in text or "Ã" in text:
+            text = text.replace("\r", "\n")
+    return html.unescape(text) if "&" in text else text
+
+
+def _np(x) -> np.ndarray:
+    return np.asarray(x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
+
+
+def _hits(strings: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(strings, pattern).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _count(strings: pa.Array, bits: tuple[int, ...]) -> list[np.ndarray]:
+    """Characters of each string that are of each class."""
+    n = _np(pc.utf8_length(strings)).astype(np.int64)
+    data = "".join(strings.to_pylist()).encode("utf-32-le", "surrogatepass")
+    kinds = _classes()[np.frombuffer(data, dtype=np.uint32)]
+    ends = np.cumsum(n)
     out = []
-    for s in _SENTENCE.split(text):
-        t = _BULLET.sub("", s.strip(), count=1)
-        w = [x.lower() for x in _WORD.findall(t)]
-        letters = sum(c.isalpha() for c in t)
-        if not t:
-            continue
-        if letters < (0.33 if _END.search(t) and len(w) >= 3 else 0.45) * len(t):
-            out.append((s, "digits"))
-        elif _END.search(t):
-            out.append((s, None if len(w) >= 3 else "fragment"))
-        else:  # without an end: prose only if it reads like a sentence
-            share = sum(x in common for x in w) / max(1, len(w))
-            commas = (t.count(",") + t.count(";")) / max(1, len(w))
-            ok = len(w) >= 9 and share >= 0.12 and commas < 0.3
-            out.append((s, None if ok else "bullets" if _BULLET.match(s) else "fragment"))
+    for b in bits:
+        sums = np.concatenate([[0], np.cumsum((kinds & b) > 0, dtype=np.int64)])
+        out.append(sums[ends] - sums[ends - n])
     return out
 
 
-def _share(common: frozenset[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            shares, reasons = [], []
-            for text in p["text"]:
-                lost: Counter = Counter()
-                total = good = 0
-                for t, why in parts(text, common):
-                    n = len(t)
-                    total += n
-                    if why is None:
-                        good += n
-                    else:
-                        lost[why] += n
-                shares.append(good / total if total else 0.0)
-                reasons.append(lost.most_common(1)[0][0] if lost else None)
-            yield pd.DataFrame({"doc_id": p["doc_id"], "prose_share": shares, "reason": reasons})
+def _held(owner: np.ndarray, strings: pa.Array, of: np.ndarray) -> np.ndarray:
+    """How often each string's letters and digits occur in its owner, among the strings of ``of``."""
+    plain = pc.utf8_lower(pc.utf8_trim_whitespace(pc.replace_substring_regex(strings, r"[^\pL\pN_]+", " ")))
+    code = _np(pc.dictionary_encode(plain).indices).astype(np.int64)
+    key = owner.astype(np.int64) * (int(code.max(initial=0)) + 1) + code
+    _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    return np.bincount(at, weights=of, minlength=len(n))[at] if len(key) else np.zeros(0)
+
+
+def _split(owner: np.ndarray, strings: pa.Array, pattern: str) -> tuple[np.ndarray, pa.Array]:
+    lists = pc.split_pattern(strings, pattern)
+    return np.repeat(owner, _np(pc.list_value_length(lists))), pc.list_flatten(lists)
+
+
+def _pick(strings: pa.Array, mask: np.ndarray) -> pa.Array:
+    return strings.filter(pa.array(mask))
+
+
+def part_statistics(texts: list[str], common: pa.Array) -> dict[str, np.ndarray]:
+    """Columns over all parts of the texts (lines that are no prose by themselves, damaged
+    paragraphs, and sentences): ``doc`` (which text), ``n`` (characters), ``why`` (reason
+    already given by the part's line or paragraph, or 0), ``letters``, ``words``,
+    ``common``, ``commas``, ``ended``, ``bullet``, ``menu``, and the texts themselves."""
+    doc, lines = _split(np.arange(len(texts)), pa.array([_cleaned(t) for t in texts], pa.large_string()), "\n")
+    body = pc.utf8_trim_whitespace(lines)
+    n = _np(pc.utf8_length(body)).astype(np.int64)
+    full = n > 0
+    gap = np.diff(np.flatnonzero(full), prepend=-2) > 1  # a blank line stands before
+    doc, lines, body, n = doc[full], _pick(lines, full), _pick(body, full), n[full]
+    why = np.zeros(len(n), np.int8)
+    for reason, pattern in reversed(_LINE_RULES):
+        why[_hits(body, pattern)] = _CODE[reason]
+    bare_commas = _np(pc.count_substring_regex(body, r"[^\s,],")) >= 3
+    why[(why == 0) & bare_commas & ~_hits(body, ", ")] = _CODE["table"]
+    why[(why == 0) & _hits(body, r"\S{46,}") & ~_hits(body, r"https?://")] = _CODE["codes"]
+    why[(why == 0) & (_held(doc, body, np.ones(len(n))) >= REPEATS)] = _CODE["repeated"]
+    ended, bullet = _hits(body, _END), _hits(lines, _BULLET)
+
+    # lines run on into paragraphs
+    tail = pc.replace_substring_regex(pc.utf8_lower(pc.utf8_slice_codeunits(body, -20, None)), r"[^\pL]+$", "")
+    tail = pc.replace_substring_regex(tail, r"^.*[^\pL]", "")
+    open_ = _hits(body, r"[,;\-]$") | (n >= WRAPPED) | _np(pc.is_in(tail, common))
+    on = np.zeros(len(n), bool)
+    if len(n):
+        last = slice(None, -1)
+        lower = _hits(body, r"^(?:\p{Ll}|\pN)")
+        on[1:] = np.where(ended[last], n[last] >= WRAPPED, lower[1:] | open_[last])
+        on[1:] &= ~bullet[1:] & (why[1:] == 0) & (why[last] == 0) & (doc[1:] == doc[last]) & ~gap[1:]
+    first = np.flatnonzero(~on)
+    units = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(n)), pa.int32()), body), pa.scalar(" ", body.type)) if len(n) else body
+    u_doc, u_why, u_ended = doc[first], why[first], ended[first]
+    size = np.diff(np.append(first, len(n)))
+    u_n = _np(pc.utf8_length(units)).astype(np.int64)
+
+    # short lines by themselves, one after another
+    short = (size == 1) & (u_n < SHORT) & ((u_why == 0) | (u_why == _CODE["repeated"]))
+    starts = np.ones(len(first), bool)
+    starts[1:] = ~(short[1:] & short[:-1]) | gap[first][1:] | (u_doc[1:] != u_doc[:-1])
+    seg = np.cumsum(starts) - 1
+    many, left_open = np.bincount(seg), np.bincount(seg, weights=~u_ended)
+    menu = short & ((many >= MENU_LINES) & (left_open >= MENU_OPEN * many))[seg] if len(seg) else short
+
+    # paragraphs that are damaged as a whole
+    bare = pc.replace_substring_regex(units, _BULLET, "")
+    symbols, damage = _count(bare, (2, 4))
+    b_n = _np(pc.utf8_length(bare)).astype(np.int64)
+    u_why = np.where((u_why == 0) & (symbols > MAX_SYMBOLS * b_n), _CODE["symbols"], u_why)
+    u_why = np.where((why[first] == 0) & (damage > MAX_DAMAGE * b_n), _CODE["encoding"], u_why)
+    word_of, words = _words(np.arange(len(first)), bare, r"[^\pL\pN]+")
+    article = _np(pc.is_in(words, pa.array(ARTICLES, words.type)))
+    ordinary = _np(pc.is_in(words, common)) & ~_np(pc.is_in(words, pa.array(AFTER_ARTICLE, words.type)))
+    followed = article[:-1] & (word_of[1:] == word_of[:-1])
+    total = np.bincount(word_of[:-1][followed], minlength=len(first))
+    wrong = np.bincount(word_of[:-1][followed & ordinary[1:]], minlength=len(first))
+    u_why = np.where((u_why == 0) & (total >= SALAD_ARTICLES) & (wrong > MAX_SALAD * total), _CODE["salad"], u_why)
+
+    # sentences of the rest
+    sound = u_why == 0
+    cut = pc.replace_substring_regex(_pick(units, sound), r"([.!?][\"'”’»)\]]*)\s+", "\\1\n")
+    owner, sentences = _split(np.flatnonzero(sound), cut, "\n")
+    t = pc.replace_substring_regex(sentences, _BULLET, "")
+    t_n = _np(pc.utf8_length(t)).astype(np.int64)
+    some = t_n > 0
+    owner, sentences, t, t_n = owner[some], _pick(sentences, some), _pick(t, some), t_n[some]
+    letters, commas = _count(t, (1, 8))
+    at, words = _words(np.arange(len(owner)), t, r"[^\pL]+")
+    n_words = np.bincount(at, minlength=len(owner))
+    n_common = np.bincount(at[_np(pc.is_in(words, common)).astype(bool)], minlength=len(owner))
+    whole = ~sound
+    zeros = np.zeros(whole.sum(), np.int64)
+    return {
+        "doc": np.concatenate([u_doc[whole], u_doc[owner]]),
+        "n": np.concatenate([u_n[whole], _np(pc.utf8_length(sentences)).astype(np.int64)]),
+        "why": np.concatenate([u_why[whole], np.zeros(len(owner), u_why.dtype)]),
+        "menu": np.concatenate([np.zeros(len(zeros), bool), menu[owner]]),
+        "length": np.concatenate([zeros, t_n]),
+        "letters": np.concatenate([zeros, letters]),
+        "words": np.concatenate([zeros, n_words]),
+        "common": np.concatenate([zeros, n_common]),
+        "commas": np.concatenate([zeros, commas]),
+        "ended": np.concatenate([zeros > 0, _hits(t, _END)]),
+        "bullet": np.concatenate([zeros > 0, _hits(sentences, _BULLET)]),
+        "text": pa.concat_arrays([_pick(units, whole), sentences]),
+    }
+
+
+def _words(owner: np.ndarray, strings: pa.Array, other: str) -> tuple[np.ndarray, pa.Array]:
+    """The lower-cased words of the strings, each with the string's owner."""
+    spaced = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(strings), other, " "), " ")
+    owner, words = _split(owner, spaced, " ")
+    some = _np(pc.binary_length(words)) > 0
+    return owner[some], _pick(words, some)
+
+
+def part_failures(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The reason (number in ``REASONS``) by which each part fails, 0 if it is a running sentence."""
+    per = np.maximum(1, p["words"])
+    few = p["letters"] < np.where(p["ended"] & (p["words"] >= MIN_WORDS_CLOSED), MIN_LETTERS_CLOSED, MIN_LETTERS_OPEN) * p["length"]
+    reads_on = (p["words"] >= MIN_WORDS_OPEN) & (p["common"] >= MIN_COMMON_OPEN * per) & (p["commas"] < MAX_COMMAS_OPEN * per)
+    good = np.where(p["ended"], p["words"] >= MIN_WORDS_CLOSED, reads_on)
+    other = np.where(p["bullet"] & ~p["ended"], _CODE["bullets"], _CODE["fragment"])
+    why = np.where(p["why"] > 0, p["why"], np.where(few, _CODE["digits"], np.where(good, 0, other)))
+    why = np.where((why == 0) & p["menu"], _CODE["menu"], why)
+    again = _held(p["doc"], p["text"], (why == 0).astype(float)) >= REPEATS
+    return np.where((why == 0) & again, _CODE["repeated"], why)
+
+
+def verdicts(texts: list[str], common: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+    """Per text, the share of its characters in running sentences, and the reason that takes most of the rest."""
+    p = part_statistics(texts, common)
+    why = part_failures(p)
+    cells = np.bincount(p["doc"] * len(REASONS) + why, weights=p["n"], minlength=len(texts) * len(REASONS)).reshape(len(texts), len(REASONS))
+    total = cells.sum(axis=1)
+    share = np.divide(cells[:, 0], total, out=np.zeros(len(texts)), where=total > 0)
+    lost = cells[:, 1:]
+    return share, [REASONS[1 + k] if m > 0 else None for k, m in zip(lost.argmax(axis=1), lost.max(axis=1))]
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > CHUNK_BYTES:
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def _share(words: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = pa.array(words, pa.large_string())
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for lo, hi in _chunks(texts):
+                share, reason = verdicts(texts[lo:hi], common)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], pa.array(share, pa.float64()), pa.array(reason, pa.string())], ["doc_id", "prose_share", "reason"])
 
     return run
 
 
 def _common(words: DataFrame) -> list[str]:
-    got = [r[0] for r in words.where("word is not null").select(F.lower("word")).distinct().limit(COMMON_LIMIT + 1).collect()]
-    if len(got) > COMMON_LIMIT:
-        raise ValueError(f"more than {COMMON_LIMIT} common words")
-    return sorted(got)
+    """The table of common words, a stated word list: the one thing every task needs whole."""
+    return sorted(r[0] for r in words.where("word is not null").select(F.lower("word")).distinct().collect())
 
 
 def prose_share(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -226,7 +298,7 @@ def prose_share(docs: DataFrame, words: DataFrame) -> DataFrame:
     the share of its characters in running sentences, and the commonest reason
     against the rest."""
     slim = docs.select("doc_id", "text").where("text is not null and text rlike '\\\\S'")
-    return slim.mapInPandas(_share(frozenset(_common(words))), "doc_id bigint, prose_share double, reason string")
+    return slim.mapInArrow(_share(_common(words)), "doc_id bigint, prose_share double, reason string")
 
 
 def statistics(docs: DataFrame, words: DataFrame) -> DataFrame:

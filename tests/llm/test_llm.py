@@ -2,9 +2,9 @@ import itertools
 import random
 import re
 from collections import Counter
-from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +349,7 @@ def test_leaks_of_nothing(spark):
 # --- quality --------------------------------------------------------------------------------
 
 COMMON = frozenset("the of and a in to was with for is by as at that on were".split())
+WORDS = pa.array(sorted(COMMON), pa.large_string())
 PROSE = "The samples were measured at noon and the result was written down. A second run with the same device gave the same value. It was repeated on two days."
 
 
@@ -369,9 +370,16 @@ PROSE = "The samples were measured at noon and the result was written down. A se
     ],
 )
 def test_prose_or_not(body, prose):
-    p = quality.parts(body, COMMON)
-    share = sum(len(t) for t, why in p if why is None) / sum(len(t) for t, _ in p)
-    assert (share >= 0.5) == prose
+    (share,), (reason,) = quality.verdicts([body], WORDS)
+    assert (share >= 0.5) == prose and (prose or reason)
+
+
+def test_verdicts_do_not_depend_on_neighbours():
+    bodies = ["", PROSE, "- a\n- b\n\n" + PROSE, "\n\n", "a,b,c,d\ne,f,g,h", "Menu\nHome\nLogin\nSearch", PROSE.replace("noon", "n\u00adoon") + "\n", "x" * 30, PROSE + "\n" + "1\t2\t3\n" * 50] * 2
+    together = quality.verdicts(bodies, WORDS)
+    for k, b in enumerate(bodies):
+        (share,), (reason,) = quality.verdicts([b], WORDS)
+        assert (share, reason) == (together[0][k], together[1][k])
 
 
 def test_quality_edges(spark):
@@ -395,9 +403,6 @@ def test_sql(spark, data):
             same(spark, data, name)
 
 
-assert datetime
-
-
 def test_clashing_columns_and_nulls_everywhere(spark, folder):
     """Inputs with columns named as the operators' own, and rows of nulls alone."""
     hits = "query_id string, subject_id string, bit_score double, search string, hit_id string, id string, g0 string, rank int"
