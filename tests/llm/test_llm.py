@@ -323,24 +323,59 @@ def test_leaks(spark):
 
 def test_multi_index_finds_all_within_radius():
     r = np.random.default_rng(0)
-    ix = leakage.ItemIndex([(k, " ".join(text(40, k))) for k in range(20)])
-    probe = ix.prints[:200] ^ np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)) for _ in range(200)], dtype=np.uint64)
-    at, entry = ix.seeds(probe)
-    found = set(zip(at.tolist(), entry.tolist()))
-    want = {(i, j) for i in range(200) for j in np.flatnonzero(np.bitwise_count(probe[i] ^ ix.prints) <= leakage.RADIUS).tolist()}
-    assert found == want
+    ix = leakage.ItemIndex([(k, " ".join(text(n, k))) for k, n in enumerate([40] * 20 + [120] * 5 + [3])], {}, np.empty(0, np.uint64))
+    assert set(ix.by_size) == {3, 5, 8}
+    for size, (prints, *_) in ix.by_size.items():
+        probe = prints[:200] ^ np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)) for _ in prints[:200]], dtype=np.uint64)
+        at, entry = ix.seeds(probe, size)
+        found = set(zip(at.tolist(), entry.tolist()))
+        want = {(i, j) for i in range(len(probe)) for j in np.flatnonzero(np.bitwise_count(probe[i] ^ prints) <= leakage.RADIUS).tolist()}
+        assert found == want
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 5, 8, 13, 21])
+def test_simhash_is_the_majority_of_bits(window):
+    bits = np.random.default_rng(window).integers(0, 1 << 63, 60, dtype=np.uint64)
+    got = leakage.simhashes(bits, window)
+    ones = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int)
+    want = [ones[k : k + window].sum(axis=0) * 2 > window for k in range(60 - window + 1)]
+    assert (np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool) == np.array(want)).all()
 
 
 def test_stretches_beyond_repeats():
     """A weaker stretch is found though a stronger one stands in the document six times."""
-    from types import SimpleNamespace
-
     item = [f"word{i}" for i in range(30)]
     doc = [w for k in range(6) for w in item[:10] + [f"other{k}x{i}" for i in range(30)]] + item[20:26]
-    got = leakage.ItemIndex.stretches(SimpleNamespace(common=set(), _align=leakage.ItemIndex._align), item, doc)
+    got = leakage.stretches(item, np.ones(30), doc)
     assert sorted((a, z) for a, z, *_ in got) == [(0, 9)] * 6 + [(20, 25)]
 
 
+def test_stock_sentences_weigh_nothing():
+    item = "in one embodiment the method of claim one comprises a zirvane that is heated to ninety degrees".split()
+    doc = "in one embodiment the method of claim one comprises a kelmor that is heated to ninety degrees".split()
+    weight = np.array([1.0 if w == "zirvane" else 0.0 for w in item])
+    assert leakage.stretches(item, weight, item) and not leakage.stretches(item, weight, doc)
+
+
+def test_leaks_do_not_depend_on_blocks(spark, data):
+    """All items at once, and in blocks of about forty and a hundred; stock phrases are known from all items."""
+    d, i = (spark.read.parquet(f"{data}/{t}.parquet").cache() for t in ("documents", "eval_items"))
+    w = d.where("length(text) < 5000").limit(30).withColumn("text", F.lit("In one embodiment, the method comprises the step of heating, and the method further comprises the step of cooling."))
+    d = d.unionByName(w)
+    want = sorted(map(tuple, leakage.leaks(d, i).collect()))
+    assert want
+    for most in (4_400, 11_000):
+        assert sorted(map(tuple, leakage.leaks(d, i, block_words=most).collect())) == want
+
+
+def test_short_items(spark):
+    d = spark.createDataFrame([(1, "they saw Zirvane Kelmor there"), (2, "nothing here")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, "Zirvane Kelmor")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).collect()} == set()  # two words are no stretch: the least chain weighs 4
+    i = spark.createDataFrame([(1, "saw Zirvane Kelmor")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).collect()} == {(1, 1)}
+
+
 def test_leaks_of_nothing(spark):
     e, n = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leakage.leaks(e, n).count() == 0
