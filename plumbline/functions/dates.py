@@ -100,6 +100,7 @@ def _corpus_date(spark, d):
     return before(rel(spark, d, "corpus1"), "2012-01-01").select("doc_id")
 
 
-@CAT.query("flt_date_window", withs("papers1") + "SELECT paper_id FROM papers1 WHERE publication_date < '2020-01-01' AND publication_date >= '2000-01-01'")
+@CAT.query("flt_date_window", withs("papers1") + "SELECT paper_id FROM papers1 WHERE parse_day(publication_date) < DATE '2020-01-01' AND parse_day(publication_date) >= DATE '2000-01-01'")
 def _window(spark, d):
-    return rel(spark, d, "papers1").where("publication_date < '2020-01-01' and publication_date >= '2000-01-01'").select("paper_id")
+    day = parse_date(F.col("publication_date"))
+    return rel(spark, d, "papers1").where((day < F.lit("2020-01-01").cast("date")) & (day >= F.lit("2000-01-01").cast("date"))).select("paper_id")

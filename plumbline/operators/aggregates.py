@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_id
 from ..plans.catalog import Catalogue, rel, withs
 from ..sources.tables import table
 
@@ -71,14 +72,14 @@ def _split(spark, d):
     return q.crossJoin(F.broadcast(q.agg(F.sum("n").alias("t")))).select("split", "domain", "n", share(F.col("n"), F.col("t")).alias("share"))
 
 
-@CAT.query("agg_split_validate", "SELECT _id AS query_id, count(DISTINCT split) AS n_splits FROM queries GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@CAT.query("agg_split_validate", "SELECT clean_id(_id) AS query_id, count(DISTINCT split) AS n_splits FROM queries GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def _overlap(spark, d):
-    return table(spark, d, "queries").groupBy(F.col("_id").alias("query_id")).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
+    return table(spark, d, "queries").groupBy(clean_id("_id").alias("query_id")).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
-@CAT.query("agg_min_citations", r"WITH q AS (SELECT regexp_extract(trim(statement_id), '^(.+)-c\d+$', 1) AS patent_id, trim(doc_id) AS doc_id FROM relevance_judgments WHERE statement_id IS NOT NULL AND doc_id IS NOT NULL) SELECT patent_id, count(DISTINCT doc_id) AS n FROM q WHERE patent_id <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3")
+@CAT.query("agg_min_citations", r"WITH q AS (SELECT regexp_extract(clean_id(statement_id), '^(.+)-C\d+$', 1) AS patent_id, clean_id(doc_id) AS doc_id FROM relevance_judgments WHERE statement_id IS NOT NULL AND doc_id IS NOT NULL) SELECT patent_id, count(DISTINCT doc_id) AS n FROM q WHERE patent_id <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3")
 def _min_citations(spark, d):
-    q = table(spark, d, "relevance_judgments").where("statement_id is not null and doc_id is not null").select(F.regexp_extract(F.trim("statement_id"), r"^(.+)-c\d+$", 1).alias("patent_id"), F.trim("doc_id").alias("doc_id"))
+    q = table(spark, d, "relevance_judgments").where("statement_id is not null and doc_id is not null").select(F.regexp_extract(clean_id("statement_id"), r"^(.+)-C\d+$", 1).alias("patent_id"), clean_id("doc_id").alias("doc_id"))
     return q.where("patent_id <> ''").groupBy("patent_id").agg(F.count_distinct("doc_id").alias("n")).where("n >= 3")
 
 
@@ -100,14 +101,14 @@ def _profiles(spark, d):
 
 @CAT.query("agg_bench_stats", "SELECT domain, split, source, count(*) AS n FROM queries GROUP BY GROUPING SETS ((domain), (split), (source), ())")
 def _bench(spark, d):
-    table(spark, d, "queries").select("domain", "split", "source").createOrReplaceTempView("bench_queries")
-    return spark.sql("SELECT domain, split, source, count(*) AS n FROM bench_queries GROUP BY GROUPING SETS ((domain), (split), (source), ())")
+    q = table(spark, d, "queries").select("domain", "split", "source")
+    return q.groupingSets([["domain"], ["split"], ["source"], []], "domain", "split", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@CAT.query("agg_cost_summary", "SELECT provider, model, count(*) AS n_calls, count(DISTINCT statement_id) AS n_items FROM relevance_judgments GROUP BY GROUPING SETS ((provider), (provider, model), ())")
+@CAT.query("agg_cost_summary", "SELECT provider, model, count(*) AS n_calls, count(DISTINCT clean_id(statement_id)) AS n_items, sum(cost_usd::DECIMAL(18,6))::DOUBLE AS cost_usd FROM relevance_judgments GROUP BY GROUPING SETS ((provider), (provider, model), ())")
 def _calls(spark, d):
-    table(spark, d, "relevance_judgments").select("provider", "model", "statement_id").createOrReplaceTempView("ledger_calls")
-    return spark.sql("SELECT provider, model, count(*) AS n_calls, count(DISTINCT statement_id) AS n_items FROM ledger_calls GROUP BY GROUPING SETS ((provider), (provider, model), ())")
+    r = table(spark, d, "relevance_judgments").select("provider", "model", "cost_usd", clean_id("statement_id").alias("item"))
+    return r.groupingSets([["provider"], ["provider", "model"], []], "provider", "model").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("item").alias("n_items"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("double").alias("cost_usd"))
 
 
 @CAT.query("agg_invert_qrels", withs("qrels") + "SELECT doc_id AS query_id, concat('patent_', query_id) AS doc_id, greatest(max(relevance), 0) AS relevance FROM qrels GROUP BY 1, 2")

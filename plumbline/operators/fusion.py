@@ -56,7 +56,7 @@ def _weighted(spark, d):
     return rounded_top(linear(s, w), 10)
 
 
-@CAT.query("fus_linear_pair", withs("scored").replace("provider IS NOT NULL", "provider IN ('alder', 'dune')") + _R + ", n AS (SELECT query_id, count(DISTINCT system) AS k FROM scored GROUP BY 1), f AS (SELECT m.query_id, doc_id, sum(s) AS score FROM m JOIN n USING (query_id) GROUP BY 1, 2, k HAVING count(*) = k)" + _TOP.format(k=10))
+@CAT.query("fus_linear_pair", withs("scored").replace("length(system ||", "system IN ('alder', 'dune') AND length(system ||") + _R + ", n AS (SELECT query_id, count(DISTINCT system) AS k FROM scored GROUP BY 1), f AS (SELECT m.query_id, doc_id, sum(s) AS score FROM m JOIN n USING (query_id) GROUP BY 1, 2, k HAVING count(*) = k)" + _TOP.format(k=10))
 def _pair(spark, d):
     return rounded_top(linear(rel(spark, d, "scored").where("system in ('alder', 'dune')"), both=True), 10)
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date
+from ..functions.text import clean_id
 from ..plans.catalog import Catalogue, rel, withs
 from .ranking import by_score, ranked
 
@@ -120,14 +122,14 @@ def _rr(spark, d):
     return per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]).select("system", "query_id", F.round("rr", 6).alias("reciprocal_rank"))
 
 
-@CAT.query("met_domain", _sql([10]).replace("WITH ", "WITH ", 1) + ", qd AS (SELECT _id AS query_id, min(coalesce(domain, 'unknown')) AS domain FROM queries GROUP BY 1), px AS (SELECT per.*, coalesce(domain, 'unknown') AS domain FROM per LEFT JOIN qd USING (query_id)) " + _means([10], "system, domain").replace("FROM per", "FROM px"))
+@CAT.query("met_domain", _sql([10]).replace("WITH ", "WITH ", 1) + ", qd AS (SELECT clean_id(_id) AS query_id, min(coalesce(domain, 'unknown')) AS domain FROM queries GROUP BY 1), px AS (SELECT per.*, coalesce(domain, 'unknown') AS domain FROM per LEFT JOIN qd USING (query_id)) " + _means([10], "system, domain").replace("FROM per", "FROM px"))
 def _domain(spark, d):
     per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]).join(rel(spark, d, "q_domain"), "query_id", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown")))
     return means(per, ["system", "domain"])
 
 
 def _typed(name: str, kind: str):
-    sql = _sql([10]).replace("rq AS (SELECT * FROM qrels WHERE relevance >= 1)", f"dt AS (SELECT _id AS doc_id, min(doc_type) AS doc_type FROM corpus WHERE doc_type IS NOT NULL GROUP BY 1), rq AS (SELECT q.* FROM qrels q LEFT JOIN dt USING (doc_id) WHERE relevance >= 1 AND coalesce(doc_type, 'paper') = '{kind}')")
+    sql = _sql([10]).replace("rq AS (SELECT * FROM qrels WHERE relevance >= 1)", f"dt AS (SELECT clean_id(_id) AS doc_id, min(doc_type) AS doc_type FROM corpus WHERE doc_type IS NOT NULL GROUP BY 1), rq AS (SELECT q.* FROM qrels q LEFT JOIN dt USING (doc_id) WHERE relevance >= 1 AND coalesce(doc_type, 'paper') = '{kind}')")
 
     @CAT.query(name, sql + _means([10]))
     def _f(spark, d):
@@ -169,27 +171,27 @@ def _by_grade(spark, d):
     return found_within(spark, d, 3).groupBy("system", "relevance").agg(F.count(F.lit(1)).alias("total"), F.count_if("found").alias("hits"))
 
 
-@CAT.query("met_cross_type", _sql([10]) + ", dt AS (SELECT _id AS doc_id, min(doc_type) AS doc_type FROM corpus WHERE doc_type IS NOT NULL GROUP BY 1), t AS (SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored), x AS (SELECT s.system, coalesce(dt.doc_type, 'paper') AS doc_type, coalesce(t.rank <= 3, false) AS found FROM rq q CROSS JOIN (SELECT DISTINCT system FROM scored) s LEFT JOIN dt USING (doc_id) LEFT JOIN t ON t.system = s.system AND t.query_id = q.query_id AND t.doc_id = q.doc_id), r AS (SELECT system, count(*) FILTER (WHERE found AND doc_type = 'paper')::DOUBLE / nullif(count(*) FILTER (WHERE doc_type = 'paper'), 0) AS a, count(*) FILTER (WHERE found AND doc_type = 'patent')::DOUBLE / nullif(count(*) FILTER (WHERE doc_type = 'patent'), 0) AS b FROM x GROUP BY 1) SELECT system, round(a, 6) AS paper_recall, round(b, 6) AS patent_recall, round(a / nullif(b, 0), 6) AS bias FROM r")
+@CAT.query("met_cross_type", _sql([10]) + ", dt AS (SELECT clean_id(_id) AS doc_id, min(doc_type) AS doc_type FROM corpus WHERE doc_type IS NOT NULL GROUP BY 1), t AS (SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored), x AS (SELECT s.system, coalesce(dt.doc_type, 'paper') AS doc_type, coalesce(t.rank <= 3, false) AS found FROM rq q CROSS JOIN (SELECT DISTINCT system FROM scored) s LEFT JOIN dt USING (doc_id) LEFT JOIN t ON t.system = s.system AND t.query_id = q.query_id AND t.doc_id = q.doc_id), r AS (SELECT system, count(*) FILTER (WHERE found AND doc_type = 'paper')::DOUBLE / nullif(count(*) FILTER (WHERE doc_type = 'paper'), 0) AS a, count(*) FILTER (WHERE found AND doc_type = 'patent')::DOUBLE / nullif(count(*) FILTER (WHERE doc_type = 'patent'), 0) AS b FROM x GROUP BY 1) SELECT system, round(a, 6) AS paper_recall, round(b, 6) AS patent_recall, round(a / nullif(b, 0), 6) AS bias FROM r")
 def _cross(spark, d):
     f = found_within(spark, d, 3).join(rel(spark, d, "doc_types"), "doc_id", "left").withColumn("t", F.coalesce("doc_type", F.lit("paper")))
     part = lambda k: F.try_divide(F.count_if(F.col("found") & (F.col("t") == k)).cast("double"), F.count_if(F.col("t") == k).cast("double"))
     return f.groupBy("system").agg(part("paper").alias("a"), part("patent").alias("b")).select("system", F.round("a", 6).alias("paper_recall"), F.round("b", 6).alias("patent_recall"), F.round(F.try_divide("a", "b"), 6).alias("bias"))
 
 
-@CAT.query("abl_ipc", _sql([10]) + ", m AS (SELECT DISTINCT _id AS query_id, substr(c, 1, 3) AS ipc3 FROM (SELECT _id, unnest(ipc_codes) AS c FROM queries)), g AS (SELECT system, ipc3, per.* EXCLUDE (system) FROM per JOIN m USING (query_id)) SELECT system, ipc3, count(*) AS n_queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(r_10), 6) AS r_10 FROM g GROUP BY 1, 2 HAVING count(*) >= 10")
+@CAT.query("abl_ipc", _sql([10]) + ", m AS (SELECT DISTINCT clean_id(_id) AS query_id, substr(c, 1, 3) AS ipc3 FROM (SELECT _id, unnest(ipc_codes) AS c FROM queries)), g AS (SELECT system, ipc3, per.* EXCLUDE (system) FROM per JOIN m USING (query_id)) SELECT system, ipc3, count(*) AS n_queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(r_10), 6) AS r_10 FROM g GROUP BY 1, 2 HAVING count(*) >= 10")
 def _ipc(spark, d):
     from ..sources.tables import table
 
-    m = table(spark, d, "queries").select(F.col("_id").alias("query_id"), F.explode("ipc_codes").alias("c")).select("query_id", F.substring("c", 1, 3).alias("ipc3")).distinct()
+    m = table(spark, d, "queries").select(clean_id("_id").alias("query_id"), F.explode("ipc_codes").alias("c")).select("query_id", F.substring("c", 1, 3).alias("ipc3")).distinct()
     per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]).join(m, "query_id")
     return per.groupBy("system", "ipc3").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"), F.round(F.avg("r_10"), 6).alias("r_10")).where("n_queries >= 10")
 
 
-@CAT.query("abl_time", _sql([10]) + ", t AS (SELECT _id AS query_id, max(priority_date) AS p FROM queries GROUP BY 1) SELECT system, CASE WHEN coalesce(p, '') >= '2010-01-01' THEN 'newer' ELSE 'older' END AS age, count(*) AS n_queries, round(avg(ndcg_10), 6) AS ndcg_10 FROM per LEFT JOIN t USING (query_id) GROUP BY 1, 2")
+@CAT.query("abl_time", _sql([10]) + ", t AS (SELECT clean_id(_id) AS query_id, max(parse_day(priority_date)) AS p FROM queries GROUP BY 1) SELECT system, CASE WHEN p >= DATE '2010-01-01' THEN 'newer' ELSE 'older' END AS age, count(*) AS n_queries, round(avg(ndcg_10), 6) AS ndcg_10 FROM per LEFT JOIN t USING (query_id) GROUP BY 1, 2")
 def _time(spark, d):
     from ..sources.tables import table
 
-    t = table(spark, d, "queries").groupBy(F.col("_id").alias("query_id")).agg(F.max("priority_date").alias("p"))
+    t = table(spark, d, "queries").groupBy(clean_id("_id").alias("query_id")).agg(F.max(parse_date(F.col("priority_date"))).alias("p"))
     per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]).join(t, "query_id", "left")
-    age = F.when(F.coalesce("p", F.lit("")) >= "2010-01-01", "newer").otherwise("older")
+    age = F.when(F.col("p") >= F.lit("2010-01-01").cast("date"), "newer").otherwise("older")
     return per.groupBy("system", age.alias("age")).agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))

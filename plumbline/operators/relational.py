@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date
+from ..functions.text import clean_id
 from ..plans.catalog import Catalogue, rel, withs
 from ..plans.sizing import maybe_broadcast
 from ..sources.tables import table
@@ -54,9 +56,9 @@ def _stats(spark, d):
     return rel(spark, d, "papers1").select("paper_id", F.char_length(F.coalesce("title", F.lit(""))).alias("title_length"), n.alias("abstract_length"), (n > 0).alias("has_abstract"))
 
 
-@CAT.query("flt_predicate", withs("qrels") + "SELECT q.query_no, count(r.doc_id) AS n_judged FROM queries q LEFT JOIN qrels r ON r.query_id = q._id WHERE q.domain = 'oncology' AND len(q.ipc_codes) > 0 GROUP BY 1")
+@CAT.query("flt_predicate", withs("qrels") + "SELECT q.query_no, count(r.doc_id) AS n_judged FROM queries q LEFT JOIN qrels r ON r.query_id = clean_id(q._id) WHERE q.domain = 'oncology' AND len(q.ipc_codes) > 0 GROUP BY 1")
 def _predicate(spark, d):
-    q = table(spark, d, "queries").where("domain = 'oncology' and size(ipc_codes) > 0").select("query_no", F.col("_id").alias("query_id"))
+    q = table(spark, d, "queries").where("domain = 'oncology' and size(ipc_codes) > 0").select("query_no", clean_id("_id").alias("query_id"))
     return q.join(rel(spark, d, "qrels"), "query_id", "left").groupBy("query_no").agg(F.count("doc_id").alias("n_judged"))
 
 
@@ -160,12 +162,12 @@ def _overlap(spark, d):
     return c.join(wanted, "concept", "left_semi").select("paper_id").distinct().join(pos, "paper_id", "left_anti")
 
 
-@CAT.query("join_ipc4_nonequi", """WITH q AS (SELECT _id AS id, query_no, priority_date AS p, ipc_codes AS codes FROM queries WHERE priority_date IS NOT NULL), f AS (SELECT id, query_no, p, substr(codes[1], 1, 4) AS ipc4 FROM q WHERE len(codes) > 0),
+@CAT.query("join_ipc4_nonequi", """WITH q AS (SELECT clean_id(_id) AS id, query_no, parse_day(priority_date) AS p, ipc_codes AS codes FROM queries), f AS (SELECT id, query_no, p, substr(codes[1], 1, 4) AS ipc4 FROM q WHERE len(codes) > 0),
 e AS (SELECT DISTINCT query_no, id, p, substr(unnest(codes), 1, 4) AS ipc4 FROM q),
 m AS (SELECT f.query_no, e.query_no AS other, row_number() OVER (PARTITION BY f.query_no ORDER BY md5('42:' || e.query_no), e.query_no) AS r FROM f JOIN e ON e.ipc4 = f.ipc4 AND e.id <> f.id AND e.p < f.p)
 SELECT query_no, other FROM m WHERE r <= 10""")
 def _ipc4(spark, d):
-    q = table(spark, d, "queries").where("priority_date is not null").select(F.col("_id").alias("id"), "query_no", F.col("priority_date").alias("p"), "ipc_codes")
+    q = table(spark, d, "queries").select(clean_id("_id").alias("id"), "query_no", parse_date(F.col("priority_date")).alias("p"), "ipc_codes").where("p is not null")
     f = q.where("size(ipc_codes) > 0").select("id", "query_no", "p", F.substring(F.get("ipc_codes", F.lit(0)), 1, 4).alias("ipc4"))
     e = q.select(F.col("id").alias("oid"), F.col("query_no").alias("other"), F.col("p").alias("op"), F.explode("ipc_codes").alias("code")).select("oid", "other", "op", F.substring("code", 1, 4).alias("ipc4")).distinct()
     m = f.join(e, "ipc4").where("oid <> id and op < p").select("query_no", "other")
@@ -174,31 +176,21 @@ def _ipc4(spark, d):
     return ranked(m, ["query_no"], hash_order("other", 42), 10).select("query_no", "other")
 
 
-@CAT.query("join_domain_overlap", """WITH q AS (SELECT query_no, list_transform(ipc_codes, lambda c: substr(c, 1, 3)) AS a FROM queries), p AS (SELECT query_no, list_transform(ipc_codes, lambda c: substr(c, 1, 3)) AS b, split FROM queries)
-SELECT p.split, CASE WHEN coalesce(list_has_any(q.a, p.b), false) THEN 'IN' ELSE 'OUT' END AS domain_type, count(*) AS n FROM q JOIN p ON p.query_no = q.query_no + 1 GROUP BY 1, 2""")
-def _domain(spark, d):
-    cls = F.coalesce(F.transform("ipc_codes", lambda c: F.substring(c, 1, 3)), F.array().cast("array<string>"))
-    q = table(spark, d, "queries")
-    a = q.select((F.col("query_no") + 1).alias("query_no"), cls.alias("a"))
-    b = q.select("query_no", cls.alias("b"), "split")
-    return a.join(b, "query_no").groupBy("split", F.when(F.arrays_overlap("a", "b"), "IN").otherwise("OUT").alias("domain_type")).agg(F.count(F.lit(1)).alias("n"))
-
-
 #: Concepts and their classes; the given tables' ids of up to three digits stand for the entry of
 #: their number's remainder.
 CONCEPT_CLASSES = (("C71924100", "A61"), ("C126322002", "A61B A61F"), ("C203014093", "A61K"), ("C502942594", "A61P"), ("C185592680", "C07"), ("C178790620", "C07D"), ("C55493867", "C07K"), ("C86803240", "C12"), ("C54355233", "C12N"), ("C104317684", "C12Q"), ("C76155785", "G01N"))
 _CLASS_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs.split())
 
 
-@CAT.query("join_qrels_domain", withs("qrels") + f""", m(i, id, cls) AS (VALUES {_CLASS_ROWS}),
-q AS (SELECT DISTINCT query_id, CASE WHEN regexp_matches(c, '^.{{3}}[A-Za-z]') THEN substr(c, 1, 4) ELSE substr(c, 1, 3) END AS cls FROM (SELECT _id AS query_id, unnest(ipc_codes) AS c FROM queries) WHERE length(c) >= 3),
+@CAT.query("join_domain_overlap", withs("qrels") + f""", m(i, id, cls) AS (VALUES {_CLASS_ROWS}),
+q AS (SELECT DISTINCT query_id, CASE WHEN regexp_matches(c, '^.{{3}}[A-Za-z]') THEN substr(c, 1, 4) ELSE substr(c, 1, 3) END AS cls FROM (SELECT clean_id(_id) AS query_id, unnest(ipc_codes) AS c FROM queries) WHERE length(c) >= 3),
 p AS (SELECT DISTINCT doc_id, cls FROM (SELECT paper_id AS doc_id, regexp_extract(x.id, '[^/]*$') AS id FROM (SELECT paper_id, unnest(concepts) AS x FROM papers)) c JOIN m ON m.id = c.id OR m.i = try_cast(nullif(regexp_extract(c.id, '^C([0-9]{{1,3}})$', 1), '') AS INT) % {len(CONCEPT_CLASSES)}),
 b AS (SELECT DISTINCT query_id, doc_id FROM qrels JOIN q USING (query_id) JOIN p USING (doc_id) WHERE q.cls = p.cls)
 SELECT query_id, doc_id, relevance, CASE WHEN b.doc_id IS NULL THEN 'OUT' ELSE 'IN' END AS domain_type FROM qrels LEFT JOIN b USING (query_id, doc_id)""")
 def _qrels_domain(spark, d):
     """Every judged pair, IN where query and paper share a class; a missing side is OUT."""
     c = F.col("c")
-    q = table(spark, d, "queries").select(F.col("_id").alias("query_id"), F.explode("ipc_codes").alias("c")).where("length(c) >= 3")
+    q = table(spark, d, "queries").select(clean_id("_id").alias("query_id"), F.explode("ipc_codes").alias("c")).where("length(c) >= 3")
     q = q.groupBy("query_id").agg(F.collect_set(F.when(c.rlike("^.{3}[A-Za-z]"), F.substring(c, 1, 4)).otherwise(F.substring(c, 1, 3))).alias("a"))
     listed = F.array(*(F.split(F.lit(cs), " ") for _, cs in CONCEPT_CLASSES))
     known = F.array(*(F.lit(k) for k, _ in CONCEPT_CLASSES))
@@ -209,9 +201,9 @@ def _qrels_domain(spark, d):
     return rel(spark, d, "qrels").join(q, "query_id", "left").join(p, "doc_id", "left").select("query_id", "doc_id", "relevance", F.when(shared, "IN").otherwise("OUT").alias("domain_type"))
 
 
-@CAT.query("join_corpus_to_queries", withs("corpus1", "qrels") + "SELECT doc_id, doc_type FROM corpus1 WHERE doc_id IN (SELECT doc_id FROM qrels WHERE query_id IN (SELECT _id FROM queries WHERE split = 'test'))")
+@CAT.query("join_corpus_to_queries", withs("corpus1", "qrels") + "SELECT doc_id, doc_type FROM corpus1 WHERE doc_id IN (SELECT doc_id FROM qrels WHERE query_id IN (SELECT clean_id(_id) FROM queries WHERE split = 'test'))")
 def _to_queries(spark, d):
-    q = table(spark, d, "queries").where("split = 'test'").select(F.col("_id").alias("query_id"))
+    q = table(spark, d, "queries").where("split = 'test'").select(clean_id("_id").alias("query_id"))
     docs = rel(spark, d, "qrels").join(q, "query_id", "left_semi").select("doc_id")
     return rel(spark, d, "corpus1").select("doc_id", "doc_type").join(docs, "doc_id", "left_semi")
 
@@ -224,9 +216,9 @@ def _negatives(spark, d):
     return rel(spark, d, "corpus1").select("doc_id").join(pos, "doc_id", "left_anti").orderBy(*hash_order("doc_id", 7)).limit(100)
 
 
-@CAT.query("join_split_qrels", withs("qrels") + ", s AS (SELECT _id AS query_id, min(split) AS split FROM queries WHERE split IS NOT NULL GROUP BY 1) SELECT split, count(*) AS n, count(DISTINCT query_id) AS n_queries FROM qrels JOIN s USING (query_id) GROUP BY 1")
+@CAT.query("join_split_qrels", withs("qrels") + ", s AS (SELECT clean_id(_id) AS query_id, min(split) AS split FROM queries WHERE split IS NOT NULL GROUP BY 1) SELECT split, count(*) AS n, count(DISTINCT query_id) AS n_queries FROM qrels JOIN s USING (query_id) GROUP BY 1")
 def _split_qrels(spark, d):
-    s = table(spark, d, "queries").where("split is not null").groupBy(F.col("_id").alias("query_id")).agg(F.min("split").alias("split"))
+    s = table(spark, d, "queries").where("split is not null").groupBy(clean_id("_id").alias("query_id")).agg(F.min("split").alias("split"))
     return rel(spark, d, "qrels").join(s, "query_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("n_queries"))
 
 
@@ -236,11 +228,24 @@ def _step4(spark, d):
     return rel(spark, d, "links").join(o, "patent_id", "left_semi").select("paper_id").distinct()
 
 
-@CAT.query("join_date_fallback", "WITH q AS (SELECT _id, max(priority_date) AS p FROM queries GROUP BY 1), f AS (SELECT count(p) = 0 AS none FROM q) SELECT _id AS query_id, CASE WHEN none THEN '2000-01-01' ELSE p END AS day FROM q, f")
+def day_by_fallback(claims: DataFrame, patents: DataFrame, dates: DataFrame) -> DataFrame:
+    """(query_id, patent_id, day) of claims (query_id, patent_id), with the first source that has any
+    date at all: patents (patent_id, day), else dates (patent_id, day), else a constant."""
+    known = patents.where("day is not null").groupBy("patent_id").agg(F.min("day").alias("a"))
+    other = dates.where("day is not null").groupBy("patent_id").agg(F.min("day").alias("b"))
+    some = known.agg((F.count("a") > 0).alias("sa")).crossJoin(other.agg((F.count("b") > 0).alias("sb")))  # one row by construction
+    j = claims.join(known, "patent_id", "left").join(other, "patent_id", "left").crossJoin(F.broadcast(some))
+    return j.select("query_id", "patent_id", F.when(F.col("sa"), F.col("a")).when(F.col("sb"), F.col("b")).otherwise(F.lit("2000-01-01").cast("date")).alias("day"))
+
+
+@CAT.query("join_date_fallback", withs("claims") + """, q AS (SELECT clean_id(_id) AS id, parse_day(priority_date) AS p FROM queries WHERE clean_id(_id) LIKE 'US%-C%'),
+c AS (SELECT DISTINCT id AS query_id, split_part(id, '-', 1) AS patent_id FROM q), a AS (SELECT split_part(id, '-', 1) AS patent_id, min(p) AS day FROM q GROUP BY 1)
+SELECT query_id, strftime(CASE WHEN (SELECT count(day) FROM a) > 0 THEN day ELSE DATE '2000-01-01' END, '%Y-%m-%d') AS day FROM c LEFT JOIN a USING (patent_id)""")
 def _fallback(spark, d):
-    q = table(spark, d, "queries").groupBy(F.col("_id").alias("query_id")).agg(F.max("priority_date").alias("p"))
-    flag = q.agg((F.count("p") == 0).alias("none"))  # one row by construction
-    return q.crossJoin(F.broadcast(flag)).select("query_id", F.when(F.col("none"), "2000-01-01").otherwise(F.col("p")).alias("day"))
+    """Claims of the queries with their patent's earliest priority date; corpus dates, then a constant, stand in where no patent has one."""
+    q = table(spark, d, "queries").select(clean_id("_id").alias("query_id"), parse_date(F.col("priority_date")).alias("day")).where("query_id like 'US%-C%'").withColumn("patent_id", F.split_part("query_id", F.lit("-"), F.lit(1)))
+    dates = table(spark, d, "corpus").select(clean_id("_id").alias("patent_id"), parse_date(F.col("date")).alias("day"))
+    return day_by_fallback(q.select("query_id", "patent_id").distinct(), q, dates).select("query_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @CAT.query("join_claim_paper", withs("links") + ", r AS (SELECT DISTINCT patent_id, claim_number FROM links WHERE confidence >= 9), c AS (SELECT DISTINCT patent_id, claim_number, paper_id FROM links) SELECT DISTINCT concat(r.patent_id, '-c', CAST(r.claim_number AS STRING)) AS query_id, c.paper_id FROM r JOIN c USING (patent_id, claim_number)")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.text import words
+from ..functions.text import clean_id, words
 from ..plans.catalog import Catalogue, rel, withs
 from ..sources.tables import table
 from .metrics import _sql, per_query
@@ -98,9 +98,9 @@ def _audit(spark, d):
     return table(spark, d, "relevance_judgments").where("judged_at is not null").groupBy("provider", "model", F.date_format("judged_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_calls"))
 
 
-@CAT.query("scale_merge", withs("qrels") + ", u AS (SELECT trim(statement_id) AS query_id, trim(doc_id) AS doc_id, max(relevance_score) AS v FROM relevance_judgments WHERE model = 'alder-max-3' AND relevance_score BETWEEN 0 AND 3 GROUP BY 1, 2) SELECT q.query_id, q.doc_id, coalesce(u.v, q.relevance) AS relevance, 'RN' || lpad(CAST(q.relevance AS STRING), 3, '0') AS code FROM qrels q LEFT JOIN u USING (query_id, doc_id)")
+@CAT.query("scale_merge", withs("qrels") + ", u AS (SELECT clean_id(statement_id) AS query_id, clean_id(doc_id) AS doc_id, max(relevance_score) AS v FROM relevance_judgments WHERE model = 'alder-max-3' AND relevance_score BETWEEN 0 AND 3 GROUP BY 1, 2) SELECT q.query_id, q.doc_id, coalesce(u.v, q.relevance) AS relevance, 'RN' || lpad(CAST(q.relevance AS STRING), 3, '0') AS code FROM qrels q LEFT JOIN u USING (query_id, doc_id)")
 def _merge(spark, d):
-    u = table(spark, d, "relevance_judgments").where("model = 'alder-max-3' and relevance_score between 0 and 3").groupBy(F.trim("statement_id").alias("query_id"), F.trim("doc_id").alias("doc_id")).agg(F.max("relevance_score").alias("v"))
+    u = table(spark, d, "relevance_judgments").where("model = 'alder-max-3' and relevance_score between 0 and 3").groupBy(clean_id("statement_id").alias("query_id"), clean_id("doc_id").alias("doc_id")).agg(F.max("relevance_score").alias("v"))
     return rel(spark, d, "qrels").join(u, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("v", "relevance").alias("relevance"), F.concat(F.lit("RN"), F.lpad(F.col("relevance").cast("string"), 3, "0")).alias("code"))
 
 
@@ -116,7 +116,7 @@ def _failures(spark, d):
     return per.select("system", "query_id").orderBy(*hash_order("query_id", 42), "system").limit(100)
 
 
-@CAT.query("an_vocab_gap", _sql([10]) + """, q1 AS (SELECT _id AS query_id, min(text) AS text FROM queries WHERE text IS NOT NULL GROUP BY 1), c1 AS (SELECT _id AS doc_id, max(text) AS text FROM corpus WHERE _id IS NOT NULL GROUP BY 1),
+@CAT.query("an_vocab_gap", _sql([10]) + """, q1 AS (SELECT clean_id(_id) AS query_id, min(text) AS text FROM queries WHERE text IS NOT NULL GROUP BY 1), c1 AS (SELECT clean_id(_id) AS doc_id, max(text) AS text FROM corpus WHERE _id IS NOT NULL GROUP BY 1),
 o AS (SELECT query_id, avg(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0)) AS j FROM (SELECT q.query_id, list_distinct(regexp_extract_all(lower(q1.text), '[\\p{L}\\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(c1.text), '[\\p{L}\\p{N}]+')) AS b FROM qrels q JOIN q1 USING (query_id) JOIN c1 USING (doc_id) WHERE relevance >= 1 AND c1.text IS NOT NULL) GROUP BY 1)
 SELECT system, count(*) AS n, round(coalesce(covar_pop(j, ndcg_10) / nullif(stddev_pop(j) * stddev_pop(ndcg_10), 0), 0), 5) AS correlation FROM per JOIN o USING (query_id) GROUP BY 1""")
 def _gap(spark, d):
@@ -127,9 +127,9 @@ def _gap(spark, d):
     return per.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(pearson("j", "ndcg_10"), 5).alias("correlation"))
 
 
-@CAT.query("an_tier_corr", _sql([10]) + ", a AS (SELECT provider AS system, trim(statement_id) AS query_id, avg(CASE WHEN is_prior_art THEN 1.0::DOUBLE ELSE 0 END) AS hit FROM relevance_judgments WHERE statement_id IS NOT NULL AND is_prior_art IS NOT NULL GROUP BY 1, 2) SELECT system, count(*) AS n, round(coalesce(covar_pop(r_10, hit) / nullif(stddev_pop(r_10) * stddev_pop(hit), 0), 0), 5) AS correlation FROM per JOIN a USING (system, query_id) GROUP BY 1")
+@CAT.query("an_tier_corr", _sql([10]) + ", a AS (SELECT provider AS system, clean_id(statement_id) AS query_id, avg(CASE WHEN is_prior_art THEN 1.0::DOUBLE ELSE 0 END) AS hit FROM relevance_judgments WHERE statement_id IS NOT NULL AND is_prior_art IS NOT NULL GROUP BY 1, 2) SELECT system, count(*) AS n, round(coalesce(covar_pop(r_10, hit) / nullif(stddev_pop(r_10) * stddev_pop(hit), 0), 0), 5) AS correlation FROM per JOIN a USING (system, query_id) GROUP BY 1")
 def _tiers(spark, d):
-    a = table(spark, d, "relevance_judgments").where("statement_id is not null and is_prior_art is not null").groupBy(F.col("provider").alias("system"), F.trim("statement_id").alias("query_id")).agg(F.avg(F.col("is_prior_art").cast("int")).alias("hit"))
+    a = table(spark, d, "relevance_judgments").where("statement_id is not null and is_prior_art is not null").groupBy(F.col("provider").alias("system"), clean_id("statement_id").alias("query_id")).agg(F.avg(F.col("is_prior_art").cast("int")).alias("hit"))
     per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]).join(a, ["system", "query_id"])
     return per.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(pearson("r_10", "hit"), 5).alias("correlation"))
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_id
 from ..plans.catalog import Catalogue, rel, withs
 from ..sources.tables import table
 from .metrics import _sql, per_query
@@ -253,8 +254,9 @@ def _difficulty(spark, d):
 
 @CAT.query("an_error", withs("judged", "qrels", "q_domain") + "SELECT model, domain, relevance, count(*) AS n, round(avg((score = relevance)::INT), 6) AS accuracy FROM judged JOIN qrels USING (query_id, doc_id) JOIN q_domain USING (query_id) GROUP BY GROUPING SETS ((model, domain), (model, relevance), (model))")
 def _error(spark, d):
-    rel(spark, d, "judged").join(rel(spark, d, "qrels"), ["query_id", "doc_id"]).join(rel(spark, d, "q_domain"), "query_id").select("model", "domain", "relevance", (F.col("score") == F.col("relevance")).cast("int").alias("ok")).createOrReplaceTempView("graded_pairs")
-    return spark.sql("SELECT model, domain, relevance, count(*) AS n, round(avg(ok), 6) AS accuracy FROM graded_pairs GROUP BY GROUPING SETS ((model, domain), (model, relevance), (model))")
+    p = rel(spark, d, "judged").join(rel(spark, d, "qrels"), ["query_id", "doc_id"]).join(rel(spark, d, "q_domain"), "query_id").select("model", "domain", "relevance", (F.col("score") == F.col("relevance")).cast("int").alias("ok"))
+    sets = p.groupingSets([["model", "domain"], ["model", "relevance"], ["model"]], "model", "domain", "relevance")
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 6).alias("accuracy"))
 
 
 @CAT.query("an_summary", _sql([10]) + ", m AS (SELECT system, avg(ndcg_10) AS v FROM per GROUP BY 1) SELECT system AS best, round(v, 6) AS ndcg_10 FROM m ORDER BY round(v, 9) DESC, system LIMIT 1")
@@ -263,9 +265,9 @@ def _summary(spark, d):
     return m.agg(F.min(F.struct((-F.round("v", 9)).alias("o"), "system", "v")).alias("m")).select(F.col("m.system").alias("best"), F.round("m.v", 6).alias("ndcg_10"))
 
 
-@CAT.query("an_gt_strat", _PAIR.replace("j.score AS a", "query_id, doc_id, j.score AS a") + ", g AS (SELECT trim(statement_id) AS query_id, trim(doc_id) AS doc_id, min(agreement) AS agreement FROM consensus_labels WHERE agreement IS NOT NULL GROUP BY 1, 2) SELECT agreement, count(*) AS n, round(avg((a = b)::INT), 6) AS accuracy FROM p JOIN g USING (query_id, doc_id) GROUP BY 1")
+@CAT.query("an_gt_strat", _PAIR.replace("j.score AS a", "query_id, doc_id, j.score AS a") + ", g AS (SELECT clean_id(statement_id) AS query_id, clean_id(doc_id) AS doc_id, min(agreement) AS agreement FROM consensus_labels WHERE agreement IS NOT NULL GROUP BY 1, 2) SELECT agreement, count(*) AS n, round(avg((a = b)::INT), 6) AS accuracy FROM p JOIN g USING (query_id, doc_id) GROUP BY 1")
 def _strat(spark, d):
-    g = table(spark, d, "consensus_labels").where("agreement is not null").groupBy(F.trim("statement_id").alias("query_id"), F.trim("doc_id").alias("doc_id")).agg(F.min("agreement").alias("agreement"))
+    g = table(spark, d, "consensus_labels").where("agreement is not null").groupBy(clean_id("statement_id").alias("query_id"), clean_id("doc_id").alias("doc_id")).agg(F.min("agreement").alias("agreement"))
     return _pairs(spark, d).join(g, ["query_id", "doc_id"]).groupBy("agreement").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("accuracy"))
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_id
 from ..plans.catalog import Catalogue, rel, withs
 from ..plans.shared import shared_dir
 from ..sources import files
@@ -34,10 +35,10 @@ def _queries(spark, d):
     return files.read_queries(spark, p)
 
 
-@CAT.query("src_qrels_tsv", withs("qrels") + "SELECT query_id, doc_id, max(relevance) AS relevance FROM (SELECT replace(query_id, chr(9), '') AS query_id, replace(doc_id, chr(9), '') AS doc_id, relevance FROM qrels) WHERE query_id IN (SELECT _id FROM queries WHERE split = 'test') GROUP BY 1, 2")
+@CAT.query("src_qrels_tsv", withs("qrels") + "SELECT query_id, doc_id, max(relevance) AS relevance FROM (SELECT replace(query_id, chr(9), '') AS query_id, replace(doc_id, chr(9), '') AS doc_id, relevance FROM qrels) WHERE query_id IN (SELECT clean_id(_id) FROM queries WHERE split = 'test') GROUP BY 1, 2")
 def _qrels(spark, d):
     p = _place(spark, "qrels")
-    s = table(spark, d, "queries").where("split is not null").groupBy(F.col("_id").alias("query_id")).agg(F.max_by("split", F.col("split") == "test").alias("split"))
+    s = table(spark, d, "queries").where("split is not null").groupBy(clean_id("_id").alias("query_id")).agg(F.max_by("split", F.col("split") == "test").alias("split"))
     ids = [F.translate(c, "\t", "").alias(c) for c in ("query_id", "doc_id")]
     q = rel(spark, d, "qrels").select(*ids, "relevance").groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
     files.write_qrels(q.join(s, "query_id"), p)
