@@ -190,9 +190,3 @@ def _smp_negatives(spark, d):
 @CAT.query("smp_queries", withs("q1") + "SELECT query_id FROM q1 ORDER BY md5('42:' || query_id), query_id LIMIT 100")
 def _smp_queries(spark, d):
     return rel(spark, d, "q1").select("query_id").orderBy(*hash_order("query_id", 42)).limit(100)
-
-
-@CAT.query("smp_candidates", withs("papers1") + ", b AS (SELECT paper_id, CASE WHEN cited_by_count >= 50 THEN 1 WHEN cited_by_count >= 20 THEN 2 WHEN journal IS NULL THEN 3 WHEN abstract IS NULL THEN 4 ELSE 5 END AS bucket FROM papers1), x AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || paper_id), paper_id) AS r FROM b) SELECT paper_id, bucket FROM x WHERE r <= 24")
-def _candidates(spark, d):
-    b = F.when(F.col("cited_by_count") >= 50, 1).when(F.col("cited_by_count") >= 20, 2).when(F.col("journal").isNull(), 3).when(F.col("abstract").isNull(), 4).otherwise(5)
-    return ranked(rel(spark, d, "papers1").select("paper_id", b.alias("bucket")), ["bucket"], hash_order("paper_id", 42), 24).select("paper_id", "bucket")

@@ -60,14 +60,6 @@ def _listwise(spark, d):
     return order.select("query_id", F.size("v").alias("n"), F.posexplode("v").alias("pos", "x")).select("query_id", F.col("x.doc_id").alias("doc_id"), F.round(1 - F.col("pos") / F.col("n"), 6).alias("score"))
 
 
-@CAT.query("nov_map", withs("qrels", "q1") + """, e AS (SELECT query_id, unnest(range(1, len(s) + 1)) AS element, unnest(s) AS t FROM (SELECT query_id, regexp_split_to_array(text, '[;,]\\s*(?:and\\s+)?') AS s FROM q1)), d AS (SELECT q.query_id, q.doc_id, e.element, q.relevance >= 2 AS shown FROM qrels q JOIN e USING (query_id) WHERE length(trim(t)) >= 10)
-SELECT query_id, doc_id, count(*) AS n_elements, round(avg(shown::INT), 6) AS coverage FROM d GROUP BY 1, 2""")
-def _map(spark, d):
-    """Elements of a claim against its documents: which share of the elements a document shows."""
-    e = rel(spark, d, "q1").select("query_id", F.explode(F.split("text", r"[;,]\s*(?:and\s+)?")).alias("t")).where("length(trim(t)) >= 10").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_elements"))
-    return rel(spark, d, "qrels").join(e, "query_id").select("query_id", "doc_id", "n_elements", F.round((F.col("relevance") >= 2).cast("int").cast("double"), 6).alias("coverage"))
-
-
 @CAT.query("nov_report", withs("qrels") + "SELECT query_id, CASE WHEN max(relevance) = 3 THEN 'likely_anticipated' WHEN 2 * count(*) FILTER (WHERE relevance >= 2) > count(*) THEN 'likely_obvious' WHEN max(relevance) = 0 THEN 'novel' ELSE 'partially_novel' END AS status, count(*) AS n FROM qrels GROUP BY 1")
 def _report(spark, d):
     many = F.count_if(F.col("relevance") >= 2) * 2 > F.count(F.lit(1))
