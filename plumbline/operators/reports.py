@@ -96,49 +96,6 @@ def _merge(spark, d):
     return rel(spark, d, "qrels").join(u, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("v", "relevance").alias("relevance"), F.concat(F.lit("RN"), F.lpad(F.col("relevance").cast("string"), 3, "0")).alias("code"))
 
 
-@CAT.query("top_worst_queries", _sql([3]) + "SELECT query_id, round(avg(r_3), 6) AS recall FROM per GROUP BY 1 ORDER BY round(avg(r_3), 9), query_id LIMIT 10")
-def _worst(spark, d):
-    per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [3]).groupBy("query_id").agg(F.avg("r_3").alias("r"))
-    return per.orderBy(F.round("r", 9), "query_id").limit(10).select("query_id", F.round("r", 6).alias("recall"))
-
-
-@CAT.query("smp_failures", _sql([3]) + "SELECT system, query_id FROM per WHERE r_3 = 0 ORDER BY md5('42:' || query_id), query_id, system LIMIT 100")
-def _failures(spark, d):
-    per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [3]).where("r_3 = 0")
-    return per.select("system", "query_id").orderBy(*hash_order("query_id", 42), "system").limit(100)
-
-
-@CAT.query("an_vocab_gap", _sql([10]) + """, q1 AS (SELECT clean_id(_id) AS query_id, min(text) AS text FROM queries WHERE text IS NOT NULL GROUP BY 1), c1 AS (SELECT clean_id(_id) AS doc_id, max(text) AS text FROM corpus WHERE _id IS NOT NULL GROUP BY 1),
-o AS (SELECT query_id, avg(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0)) AS j FROM (SELECT q.query_id, list_distinct(regexp_extract_all(lower(q1.text), '[\\p{L}\\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(c1.text), '[\\p{L}\\p{N}]+')) AS b FROM qrels q JOIN q1 USING (query_id) JOIN c1 USING (doc_id) WHERE relevance >= 1 AND c1.text IS NOT NULL) GROUP BY 1)
-SELECT system, count(*) AS n, round(coalesce(covar_pop(j, ndcg_10) / nullif(stddev_pop(j) * stddev_pop(ndcg_10), 0), 0), 5) AS correlation FROM per JOIN o USING (query_id) GROUP BY 1""")
-def _gap(spark, d):
-    q = rel(spark, d, "qrels").where("relevance >= 1").select("query_id", "doc_id")
-    t = q.join(rel(spark, d, "q1").select("query_id", F.array_distinct(words("text")).alias("a")), "query_id").join(rel(spark, d, "corpus1").where("text is not null").select("doc_id", F.array_distinct(words("text")).alias("b")), "doc_id")
-    o = t.groupBy("query_id").agg(F.avg(F.try_divide(F.size(F.array_intersect("a", "b")).cast("double"), F.size(F.array_union("a", "b")).cast("double"))).alias("j"))
-    per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]).join(o, "query_id")
-    return per.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(pearson("j", "ndcg_10"), 5).alias("correlation"))
-
-
-@CAT.query("an_tier_corr", _sql([10]) + ", a AS (SELECT provider AS system, clean_id(statement_id) AS query_id, avg(CASE WHEN is_prior_art THEN 1.0::DOUBLE ELSE 0 END) AS hit FROM relevance_judgments WHERE statement_id IS NOT NULL AND is_prior_art IS NOT NULL GROUP BY 1, 2) SELECT system, count(*) AS n, round(coalesce(covar_pop(r_10, hit) / nullif(stddev_pop(r_10) * stddev_pop(hit), 0), 0), 5) AS correlation FROM per JOIN a USING (system, query_id) GROUP BY 1")
-def _tiers(spark, d):
-    a = table(spark, d, "relevance_judgments").where("statement_id is not null and is_prior_art is not null").groupBy(F.col("provider").alias("system"), clean_id("statement_id").alias("query_id")).agg(F.avg(F.col("is_prior_art").cast("int")).alias("hit"))
-    per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]).join(a, ["system", "query_id"])
-    return per.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(pearson("r_10", "hit"), 5).alias("correlation"))
-
-
-@CAT.query("an_context", withs("judged", "qrels") + "SELECT model, " + ", ".join(f"round(avg(CASE WHEN relevance = {k} THEN (score = relevance)::INT END), 6) AS right_{k}" for k in range(4)) + " FROM judged JOIN qrels USING (query_id, doc_id) GROUP BY 1")
-def _context(spark, d):
-    p = rel(spark, d, "judged").join(rel(spark, d, "qrels"), ["query_id", "doc_id"])
-    return p.groupBy("model").agg(*(F.round(F.avg(F.when(F.col("relevance") == k, (F.col("score") == F.col("relevance")).cast("int"))), 6).alias(f"right_{k}") for k in range(4)))
-
-
-@CAT.query("an_qualitative", withs("judged", "qrels") + "SELECT query_id, doc_id, CASE WHEN sum((score = relevance)::INT) = 0 THEN 'all_wrong' WHEN sum((score = relevance)::INT) = 1 THEN 'one_right' WHEN sum((score = relevance)::INT) = count(*) THEN 'all_right' ELSE 'mixed' END AS kind FROM judged JOIN qrels USING (query_id, doc_id) GROUP BY 1, 2")
-def _qualitative(spark, d):
-    p = rel(spark, d, "judged").join(rel(spark, d, "qrels"), ["query_id", "doc_id"])
-    ok = F.count_if(F.col("score") == F.col("relevance"))
-    return p.groupBy("query_id", "doc_id").agg(F.when(ok == 0, "all_wrong").when(ok == 1, "one_right").when(ok == F.count(F.lit(1)), "all_right").otherwise("mixed").alias("kind"))
-
-
 @CAT.query("etl_pipeline", withs("links", "claims") + """, k AS (SELECT patent_id FROM links WHERE confidence >= 8 GROUP BY 1 HAVING count(*) >= 2), v AS (SELECT l.query_id, l.paper_id, l.confidence, l.source FROM links l WHERE l.confidence >= 8 AND l.publication_date < l.priority_date AND l.patent_id IN (SELECT patent_id FROM k)),
 g AS (SELECT query_id, paper_id, max(CASE WHEN source <> 'applicant' AND confidence >= 9 THEN 2 ELSE 1 END) AS relevance FROM v GROUP BY 1, 2), p AS (SELECT patent_id, min(domain) AS domain FROM claims GROUP BY 1), x AS (SELECT patent_id, count(*) OVER (PARTITION BY domain) AS n, row_number() OVER (PARTITION BY domain ORDER BY md5('42:' || patent_id), patent_id) AS r FROM p),
 s AS (SELECT patent_id, CASE WHEN n < 3 OR r <= greatest(1, floor(n * 0.7)) THEN 'train' WHEN r <= greatest(1, floor(n * 0.7)) + greatest(1, floor(n * 0.15)) THEN 'dev' ELSE 'test' END AS split FROM x)

@@ -116,11 +116,6 @@ def _model_pairs(spark, d) -> DataFrame:
     return a.join(b, ["query_id", "doc_id"]).where("model_a < model_b")
 
 
-@CAT.query("an_inter_model", withs("judged") + ", m AS (SELECT a.model AS model_a, b.model AS model_b, a.score AS x, b.score AS y FROM judged a JOIN judged b USING (query_id, doc_id) WHERE a.model < b.model) SELECT model_a, model_b, count(*) AS n, count(*) FILTER (WHERE x = y) AS n_same, round(avg(abs(x - y)), 6) AS distance FROM m GROUP BY 1, 2")
-def _inter(spark, d):
-    return _model_pairs(spark, d).groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") == F.col("y")).alias("n_same"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("distance"))
-
-
 @CAT.query("st_spearman", withs("judged") + ", m AS (SELECT a.model AS model_a, b.model AS model_b, query_id, doc_id, a.score AS x, b.score AS y FROM judged a JOIN judged b USING (query_id, doc_id) WHERE a.model < b.model), r AS (SELECT model_a, model_b, rank() OVER (PARTITION BY model_a, model_b ORDER BY x) + (count(*) OVER (PARTITION BY model_a, model_b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY model_a, model_b ORDER BY y) + (count(*) OVER (PARTITION BY model_a, model_b, y) - 1) / 2.0::DOUBLE AS ry FROM m) SELECT model_a, model_b, round(coalesce(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 0), 6) AS rho FROM r GROUP BY 1, 2")
 def _spearman(spark, d):
     # grades are few: ranks come from the contingency table, not from sorting the items
@@ -269,5 +264,3 @@ def _summary(spark, d):
 def _strat(spark, d):
     g = table(spark, d, "consensus_labels").where("agreement is not null").groupBy(clean_id("statement_id").alias("query_id"), clean_id("doc_id").alias("doc_id")).agg(F.min("agreement").alias("agreement"))
     return _pairs(spark, d).join(g, ["query_id", "doc_id"]).groupBy("agreement").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("accuracy"))
-
-
