@@ -1,19 +1,28 @@
 """Retrieval: lexical, dense, sparse, late-interaction and fingerprint scoring.
 
-Lexical scoring is an equi-join on the term. Only query terms are looked up:
-the query side is a few hundred short texts, reduced to distinct terms before
-the join, so a posting list is read once, and partial sums per (query,
-document) are combined before they are shuffled.
+Lexical scoring looks up query terms alone: their occurrences are shuffled
+once, by document, and counted. ``bm25`` then joins them with the queries and
+sums in the document's task. ``bm25_top``, where only the best are asked for,
+multiplies a batch of documents with the matrix of terms and queries instead
+and keeps the k best per query in each task, so that pairs of queries and
+documents are never rows.
+
+Vector scoring meets a stated query set with all rows in blocks of a bounded
+size, each sent to all tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..plans.catalog import Catalogue, rel, withs
-from ..plans.sizing import maybe_broadcast
+from ..plans.shared import materialize
+from ..plans.sizing import BROADCAST_BYTES, maybe_broadcast, planned_bytes, small
 from ..sources.tables import table
 from .ranking import by_score, ranked
 
@@ -27,19 +36,123 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return t.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, qs: DataFrame, k1: float = 1.5, b: float = 0.75, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
+def ws_tokens(c: str | Column) -> Column:
+    """Lower-cased pieces between white space."""
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+
+
+def bm25(docs: DataFrame, qs: DataFrame, k1: float = 1.5, b: float = 0.75, doc: str = "doc_id", query: str = "query_id", tokens=words, idf: str = "lucene") -> DataFrame:
     """(query_id, doc_id, score) of documents that share a term with the query; repeated query
-    terms count repeatedly; idf = ln((N - df + 0.5) / (df + 0.5) + 1)."""
-    q = qs.select(F.col(query).alias("q"), F.explode(words("text")).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
+    terms count repeatedly. ``idf``: ``lucene`` ln((N - df + 0.5) / (df + 0.5) + 1); ``okapi`` without
+    the 1, terms in more than half of the documents at a quarter of the mean; ``sum`` adds each distinct
+    term's lucene idf once, however often it occurs."""
+    q = qs.select(F.col(query).alias("q"), F.explode(tokens("text")).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
     terms = maybe_broadcast(q.select("term").distinct())
-    size = docs.where("text is not null").select(F.size(words("text")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    # tf of query terms alone: other terms never reach a shuffle
-    toks = docs.where("text is not null").select(F.col(doc).alias("doc"), words("text").alias("w"))
-    hit = toks.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = docs.where("text is not null").select(F.col(doc).alias("doc"), tokens("text").alias("w")).select("doc", F.size("w").alias("dl"), "w")
+    size = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    # terms of queries alone reach the shuffle, which is by document for all that follows
+    hit = toks.select("doc", "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi").repartition("doc").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = F.col("qf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    j = hit.join(q.join(df, "term"), "term").crossJoin(F.broadcast(size))
-    return j.groupBy("q", "doc").agg(F.sum(s).alias("score")).select(F.col("q").alias(query), F.col("doc").alias(doc), "score")
+    n, d = F.col("n"), F.col("df")
+    if idf == "okapi":
+        every = toks.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        raw = F.log(n - d + 0.5) - F.log(d + 0.5)
+        mean = every.crossJoin(F.broadcast(size)).agg(F.avg(raw).alias("mean"))  # one row
+        df = df.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(mean)).select("term", F.when(raw < 0, 0.25 * F.col("mean")).otherwise(raw).alias("idf"))
+    else:
+        df = df.crossJoin(F.broadcast(size)).select("term", F.log((n - d + 0.5) / (d + 0.5) + 1).alias("idf"))
+    weight = F.lit(1.0) if idf == "sum" else F.col("qf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    j = hit.join(maybe_broadcast(q.join(df, "term")), "term").crossJoin(F.broadcast(size))
+    return j.groupBy("q", "doc").agg(F.sum(F.col("idf") * weight).alias("score")).select(F.col("q").alias(query), F.col("doc").alias(doc), "score")
+
+
+#: Cells of the matrix of terms and queries that a task holds at most; more queries go in blocks.
+MATRIX_CELLS = 8_000_000
+
+
+def _best(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query: score to nine digits, then the lesser document."""
+    order = np.lexsort((d, -np.round(s, 9), q))
+    first = np.r_[True, np.diff(q[order]) != 0]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - start < k]
+
+
+def _scores(terms: np.ndarray, asked: np.ndarray, qf: np.ndarray, idf: np.ndarray, n_queries: int, avgdl: float, k1: float, b: float, k: int):
+    """Rows (doc, dl, tid, tf), those of a document together, to the k best (query, doc, score) of the task."""
+
+    def run(batches):
+        m = np.zeros((len(idf), n_queries))
+        m[terms, asked] = qf
+        m *= idf[:, None]
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        least = np.zeros(n_queries)
+        rest: list[pa.RecordBatch] = []
+
+        def take(x: pa.Table) -> None:
+            nonlocal kept, least
+            doc, dl, tid, tf = (x.column(c).to_numpy() for c in ("doc", "dl", "tid", "tf"))
+            w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            cuts = np.flatnonzero(np.r_[True, np.diff(doc) != 0])
+            score = np.add.reduceat(m[tid] * w[:, None], cuts, axis=0)
+            i, q = np.nonzero((score > 0) & (np.round(score, 9) >= least))
+            new = [np.concatenate(p) for p in zip(kept, (q, doc[cuts][i], score[i, q]))]
+            at = _best(*new, k)
+            kept = [p[at] for p in new]
+            full = np.bincount(kept[0], minlength=n_queries) >= k
+            low = np.full(n_queries, np.inf)
+            np.minimum.at(low, kept[0], np.round(kept[2], 9))
+            least = np.where(full, low, 0.0)
+
+        for x in batches:
+            if not x.num_rows:
+                continue
+            t = pa.Table.from_batches([*rest, x])
+            doc = t.column("doc").to_numpy()
+            whole = int(np.searchsorted(doc, doc[-1], "left"))  # the last document may go on
+            if whole:
+                take(t.slice(0, whole))
+            rest = t.slice(whole).to_batches()
+        if rest:
+            take(pa.Table.from_batches(rest))
+        yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.float64())], ["q", "doc", "score"])
+
+    return run
+
+
+def bm25_top(docs: DataFrame, qs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """The k best documents of each query by ``bm25``'s lucene form, with their ``rank``; both ids are
+    integers. The queries are a stated set: their terms and frequencies are gathered, and beyond
+    ``MATRIX_CELLS`` they are worked on in blocks over one table of occurrences."""
+    spark = docs.sparkSession
+    q = qs.select(F.col(query).alias("q"), F.explode(words("text")).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = q.toPandas()
+    names, tid = np.unique(asked["term"].to_numpy(dtype=str), return_inverse=True)
+    ids, qid = np.unique(asked["q"].to_numpy(), return_inverse=True)
+    if not len(names):
+        return spark.createDataFrame([], f"{query} bigint, {doc} bigint, score double, rank int")
+    # every document has one occurrence of the empty term, so that lengths come with the same pass
+    terms = maybe_broadcast(spark.createDataFrame(pd.DataFrame({"term": ["", *names], "tid": np.arange(-1, len(names))})))
+    toks = docs.where("text is not null").select(F.col(doc).alias("doc"), words("text").alias("w"))
+    hit = toks.select("doc", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term")).join(terms, "term").repartition("doc").groupBy("doc", "dl", "tid").agg(F.count(F.lit(1)).alias("tf"))
+    hit = materialize(hit.sortWithinPartitions("doc"), "occurrences")
+    found = hit.groupBy("tid").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("dl")).toPandas()  # at most a row per term of the queries
+    df = np.zeros(len(names) + 1)
+    df[found["tid"].to_numpy(dtype=int)] = found["df"]  # the empty term stands last
+    avgdl = max(1e-9, float(found["dl"][found["tid"] == -1].sum()))
+    idf = np.log((df[-1] - df[:-1] + 0.5) / (df[:-1] + 0.5) + 1)
+    step = max(1, MATRIX_CELLS // len(names))
+    out = None
+    # occurrences are sorted by document again: a written file may be cut anywhere
+    rows = hit.where("tid >= 0").repartition("doc").sortWithinPartitions("doc")
+    for lo in range(0, len(ids), step):
+        at = np.flatnonzero((qid >= lo) & (qid < lo + step))
+        run = _scores(tid[at], qid[at] - lo, asked["qf"].to_numpy()[at], idf, min(step, len(ids) - lo), avgdl, k1, b, k)
+        part = rows.mapInArrow(run, "q bigint, doc bigint, score double").select((F.col("q") + lo).alias("q"), "doc", "score")
+        out = part if out is None else out.unionByName(part)
+    named = spark.createDataFrame(pd.DataFrame({"q": np.arange(len(ids)), query: ids}))
+    best = ranked(out, ["q"], by_score("score", "doc"), k)
+    return best.join(maybe_broadcast(named), "q").select(query, F.col("doc").alias(doc), "score", "rank")
 
 
 _BM = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t} WHERE text IS NOT NULL), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
@@ -53,8 +166,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_numb
 def _bm25(spark, d):
     """Ten best documents for every evaluation item."""
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
-    s = bm25(table(spark, d, "documents").select("doc_id", "text"), items)
-    return ranked(s, ["query_id"], by_score(), 10).withColumn("score", F.round("score", 6))
+    return bm25_top(table(spark, d, "documents").select("doc_id", "text"), items, 10).withColumn("score", F.round("score", 6))
 
 
 @CAT.query("join_postings", """WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM eval_items), p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL)
@@ -73,14 +185,26 @@ def norm(a: str) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def against(rows: DataFrame, asked: DataFrame, key: str = "query_id") -> DataFrame:
+    """All rows with all of a stated query set, which is sent to the tasks in blocks within the size bound."""
+    if not small(asked):
+        asked = materialize(asked, "query-set")  # from here its true size is known
+    n = planned_bytes(asked) // BROADCAST_BYTES + 1
+    blocks = [asked] if n == 1 else [asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+    out = rows.crossJoin(F.broadcast(blocks[0]))
+    for b in blocks[1:]:
+        out = out.unionByName(rows.crossJoin(F.broadcast(b)))
+    return out
+
+
 def exact_search(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vec: str = "embedding", cosine: bool = True) -> DataFrame:
-    """Exact nearest neighbours of the rows whose id is divisible by ``every``. The stated query
-    set meets all rows; it is broadcast only within the size bound, else joined in blocks."""
+    """Exact nearest neighbours of the rows whose id is divisible by ``every``. The k best
+    per query are kept in each task before they are shuffled."""
     q = vectors.where((F.col(id_col) % every == 0) & F.col(vec).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q"), norm(vec).alias("_nq"))
     x = vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(vec).alias("_x"), norm(vec).alias("_nx"))
     s = dot("_q", "_x")
     score = F.coalesce(F.try_divide(s, F.col("_nq") * F.col("_nx")), F.lit(0.0)) if cosine else s
-    pairs = x.crossJoin(maybe_broadcast(q)).where("query_id <> doc_id").select("query_id", "doc_id", score.alias("score"))
+    pairs = against(x, q).where("query_id <> doc_id").select("query_id", "doc_id", score.alias("score"))
     return ranked(pairs, ["query_id"], by_score(), k)
 
 
@@ -135,7 +259,7 @@ def _maxsim(spark, d):
     q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
     inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     score = F.aggregate("qv", F.lit(0.0), lambda s, a: s + F.array_max(F.transform("v", lambda b: inner(a, b))))
-    p = e.crossJoin(maybe_broadcast(q)).where("id <> query_id").select("query_id", F.col("id").alias("doc_id"), score.alias("score"))
+    p = against(e, q).where("id <> query_id").select("query_id", F.col("id").alias("doc_id"), score.alias("score"))
     return ranked(p, ["query_id"], by_score(), 5).withColumn("score", F.round("score", 6))
 
 
@@ -153,7 +277,7 @@ def _tanimoto(spark, d):
     q = f.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("b").alias("qb"))
     both = F.size(F.array_intersect("b", "qb"))
     t = F.try_divide(both.cast("double"), (F.size("b") + F.size("qb") - both).cast("double"))
-    return f.crossJoin(maybe_broadcast(q)).where("id <> query_id").select("query_id", F.col("id").alias("doc_id"), F.coalesce(t, F.lit(0.0)).alias("t")).where("t >= 0.5").select("query_id", "doc_id", F.round("t", 6).alias("tanimoto"))
+    return against(f, q).where("id <> query_id").select("query_id", F.col("id").alias("doc_id"), F.coalesce(t, F.lit(0.0)).alias("t")).where("t >= 0.5").select("query_id", "doc_id", F.round("t", 6).alias("tanimoto"))
 
 
 @CAT.query("ret_chem_hamming", f"""WITH f AS ({_BITS}), s AS (SELECT q.id AS query_id, x.id AS doc_id, 1 - (len(q.b) + len(x.b) - 2 * len(list_intersect(q.b, x.b)))::DOUBLE / 64 AS score FROM f q JOIN f x ON x.id <> q.id WHERE q.id % 50 = 0) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
@@ -161,13 +285,14 @@ def _hamming(spark, d):
     f = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), bits("embedding").alias("b"))
     q = f.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("b").alias("qb"))
     s = 1 - (F.size("b") + F.size("qb") - 2 * F.size(F.array_intersect("b", "qb"))) / F.lit(64.0)
-    return ranked(f.crossJoin(maybe_broadcast(q)).where("id <> query_id").select("query_id", F.col("id").alias("doc_id"), s.alias("score")), ["query_id"], by_score(), 10).withColumn("score", F.round("score", 6))
+    return ranked(against(f, q).where("id <> query_id").select("query_id", F.col("id").alias("doc_id"), s.alias("score")), ["query_id"], by_score(), 10).withColumn("score", F.round("score", 6))
 
 
-@CAT.query("ret_seq_blast", "SELECT query_id, subject_id, max(bit_score) AS bit_score FROM blast_hits WHERE identity >= 70 AND bit_score >= 0 AND NOT isnan(bit_score) AND query_id IS NOT NULL AND subject_id IS NOT NULL GROUP BY 1, 2")
+@CAT.query("ret_seq_blast", "SELECT query_id, subject_id, bit_score, rank FROM (SELECT query_id, subject_id, max(bit_score) AS bit_score, row_number() OVER (PARTITION BY query_id ORDER BY max(bit_score) DESC, subject_id) AS rank FROM blast_hits WHERE identity >= 70 AND bit_score >= 0 AND NOT isnan(bit_score) AND query_id IS NOT NULL AND subject_id IS NOT NULL GROUP BY 1, 2) WHERE rank <= 50")
 def _blast(spark, d):
+    """Hits of at least 70 % identity, the 50 best by bit score per query."""
     b = table(spark, d, "blast_hits").where("identity >= 70 and bit_score >= 0 and not isnan(bit_score) and query_id is not null and subject_id is not null")
-    return b.groupBy("query_id", "subject_id").agg(F.max("bit_score").alias("bit_score"))
+    return ranked(b.groupBy("query_id", "subject_id").agg(F.max("bit_score").alias("bit_score")), ["query_id"], [F.desc("bit_score"), F.asc("subject_id")], 50)
 
 
 @CAT.query("fn_tier_tanimoto", "SELECT CASE WHEN similarity >= 0.85 THEN 3 WHEN similarity >= 0.7 THEN 2 WHEN similarity >= 0.5 THEN 1 ELSE 0 END AS tier, count(*) AS n FROM chemical_hits WHERE similarity BETWEEN 0 AND 1 AND NOT isnan(similarity) GROUP BY 1")
@@ -219,9 +344,131 @@ def _prf(spark, d):
     """Ten most frequent further terms of the five best documents of each item."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
-    top = ranked(bm25(docs, items), ["query_id"], by_score(), 5).select("query_id", "doc_id")
+    top = bm25_top(docs, items, 5).select("query_id", "doc_id")
     stop = table(spark, d, "common_words").select(F.col("word").alias("term")).distinct()
     terms = top.join(docs, "doc_id").select("query_id", F.explode(words("text")).alias("term")).where("length(term) > 2").join(maybe_broadcast(stop), "term", "left_anti")
     own = items.select("query_id", F.explode(words("text")).alias("term")).distinct()
     n = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n")).join(own, ["query_id", "term"], "left_anti")
     return ranked(n, ["query_id"], [F.desc("n"), F.asc("term")], 10)
+
+
+# --- further scorers -------------------------------------------------------------------------
+
+_WS = "list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '')"
+_TOP10 = " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) WHERE rank <= 10"
+_LEX = withs("corpus1", "q1") + f""", d AS (SELECT doc_id, {_WS.format(c="coalesce(title, '') || ' ' || coalesce(text, '')")} AS w FROM corpus1), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_WS.format(c="text")}) AS term FROM q1) GROUP BY 1, 2)"""
+_TFW = "qf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * dl / avgdl))"
+
+
+def titled(corpus: DataFrame) -> DataFrame:
+    """(doc_id, text): title, a blank and text."""
+    return corpus.select("doc_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _lexical(name: str, sql: str, idf: str):
+    @CAT.query(name, _LEX + sql + _TOP10)
+    def _f(spark, d):
+        s = bm25(titled(rel(spark, d, "corpus1")), rel(spark, d, "q1").select("query_id", "text"), tokens=ws_tokens, idf=idf)
+        return ranked(s, ["query_id"], by_score(), 10).withColumn("score", F.round("score", 6))
+
+
+_lexical("ret_bm25_okapi", f", r AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS x FROM df, n), i AS (SELECT term, CASE WHEN x < 0 THEN 0.25::DOUBLE * (SELECT avg(x) FROM r) ELSE x END AS idf FROM r), b AS (SELECT query_id, doc_id, sum(idf * {_TFW}) AS score FROM q JOIN tf USING (term) JOIN i USING (term), n GROUP BY 1, 2)", "okapi")
+_lexical("ret_bm25_demo", f", b AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * {_TFW}) AS score FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2)", "lucene")
+
+
+@CAT.query("ret_idf_sum", _LEX + ", s AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1)) AS x FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2), b AS (SELECT query_id, doc_id, x / max(x) OVER (PARTITION BY query_id) AS score FROM s)" + _TOP10)
+def _idf_sum(spark, d):
+    """Sum of the idf of shared terms as a share of the best document's. The best is the first of the ranking, so no second pass is needed."""
+    s = bm25(titled(rel(spark, d, "corpus1")), rel(spark, d, "q1").select("query_id", "text"), tokens=ws_tokens, idf="sum")
+    top = ranked(s, ["query_id"], by_score(), 10)
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return top.withColumn("score", F.round(F.col("score") / best, 6))
+
+
+_EMB = "coalesce({dot} / nullif({na} * {nb}, 0), 0)".format(dot=_DOT, na=_NRM.format(v="a"), nb=_NRM.format(v="embedding"))
+
+
+@CAT.query("ret_chem_faiss", "SELECT * FROM (" + _DENSE.format(s=_EMB) + ") WHERE score >= 0.2")
+def _chem(spark, d):
+    """Nearest by cosine with a least similarity."""
+    return exact_search(table(spark, d, "embeddings"), 50, 10).withColumn("score", F.round("score", 6)).where("score >= 0.2")
+
+
+@CAT.query("ret_seq_embed", f"""WITH m AS (SELECT vec_id, list_transform(range(16), lambda i: (embedding[i * 4 + 1]::DOUBLE + embedding[i * 4 + 2] + embedding[i * 4 + 3] + embedding[i * 4 + 4]) / 4) AS embedding FROM embeddings) {_DENSE.format(s=_EMB).replace("WITH q AS", ", q AS").replace("FROM embeddings", "FROM m").replace("FROM q, embeddings", "FROM q, m")}""")
+def _seq(spark, d):
+    """Cosine of pooled token vectors: runs of four coordinates stand for a sequence's tokens, their means for the pooled vector."""
+    pooled = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.aggregate(F.slice("embedding", i * 4 + 1, 4), F.lit(0.0), lambda s, x: s + x.cast("double")) / 4)
+    return exact_search(table(spark, d, "embeddings").select("vec_id", pooled.alias("embedding")), 50, 10).withColumn("score", F.round("score", 6))
+
+
+@CAT.query("ret_colbert_cand", f"""WITH e AS ({_CHUNK}), s AS (SELECT q.id AS query_id, q.t, x.id AS doc_id, x.t AS u, list_sum(list_transform(list_zip(q.v, x.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM e q JOIN e x ON x.id <> q.id WHERE q.id % 50 = 0),
+n AS (SELECT query_id, doc_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id, t ORDER BY round(score, 9) DESC, doc_id, u) <= 40), v AS (SELECT query_id, doc_id, count(*) AS votes FROM n GROUP BY 1, 2) SELECT query_id, doc_id, votes, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, doc_id) AS rank FROM v) WHERE rank <= 10""")
+def _colbert(spark, d):
+    """Candidates by votes: each query token's 40 nearest document tokens vote for their documents, the ten with most votes stay."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("t"), F.slice("embedding", i * 8 + 1, 8).alias("v")))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.inline(tokens))
+    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("t").alias("qt"), F.col("v").alias("qv"))
+    near = against(e, q).where("id <> query_id").select("query_id", "qt", F.col("id").alias("doc_id"), "t", dot("qv", "v").alias("score"))
+    votes = ranked(near, ["query_id", "qt"], [F.round("score", 9).desc(), F.asc("doc_id"), F.asc("t")], 40).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("votes"))
+    return ranked(votes, ["query_id"], [F.desc("votes"), F.asc("doc_id")], 10)
+
+
+@CAT.query("fus_hybrid", _LEX + f", l0 AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * {_TFW}) AS score FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2), l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM l0 QUALIFY r <= 20), " + withs("scored")[5:] + ", g AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(avg(score), 9) DESC, doc_id) AS r FROM scored GROUP BY 1, 2 QUALIFY r <= 20), b AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM g) GROUP BY 1, 2)" + _TOP10)
+def _hybrid(spark, d):
+    """Lexical search and a second scorer, twice as deep as asked for, fused by reciprocal rank and cut. The judges' mean score stands for the encoder's."""
+    lexical = ranked(bm25(titled(rel(spark, d, "corpus1")), rel(spark, d, "q1").select("query_id", "text"), tokens=ws_tokens), ["query_id"], by_score(), 20)
+    other = ranked(rel(spark, d, "scored").groupBy("query_id", "doc_id").agg(F.avg("score").alias("score")), ["query_id"], by_score(), 20)
+    both = lexical.select("query_id", "doc_id", "rank").unionByName(other.select("query_id", "doc_id", "rank"))
+    fused = both.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (F.lit(60.0) + F.col("rank"))).alias("score"))
+    return ranked(fused, ["query_id"], by_score(), 10).withColumn("score", F.round("score", 6))
+
+
+#: The inverted-file index: rows its centroids are fitted on at most, rows per centroid, share of the lists probed.
+IVF_SAMPLE, IVF_LIST, IVF_PROBED = 20_000, 200, 0.75
+
+
+def inverted_file(vectors: DataFrame, seed: int = 42, id_col: str = "vec_id", vec: str = "embedding"):
+    """(centroids, rows with their list): k-means centroids fitted on a bounded sample of unit vectors;
+    every row is indexed, in the list of its nearest centroid."""
+    x = vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    n = x.count()
+    sample = x.select("v").sample(min(1.0, IVF_SAMPLE / max(1, n)), seed).limit(IVF_SAMPLE)
+    a = np.array([r[0] for r in sample.collect()], dtype=float)
+    if not len(a):
+        return np.empty((0, 1)), x.withColumn("list", F.lit(0))
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    k = max(1, min(1024, len(a), n // IVF_LIST))
+    c = a[np.random.RandomState(seed).permutation(len(a))[:k]]
+    for _ in range(10):
+        at = (a @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, a)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norms > 0, sums / np.maximum(norms, 1e-12), c)
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(v.to_numpy()).astype(float) @ c.T).argmax(axis=1))
+
+    return c, x.withColumn("list", nearest("v"))
+
+
+def approximate_search(vectors: DataFrame, every: int, k: int, probed: float = IVF_PROBED) -> DataFrame:
+    """Nearest neighbours by cosine among the rows of the lists nearest to the query; the join is on the list."""
+    c, rows = inverted_file(vectors)
+    m = max(1, int(np.ceil(probed * len(c))))
+
+    @F.pandas_udf("array<int>")
+    def lists(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.argsort(-(np.stack(v.to_numpy()).astype(float) @ c.T), axis=1)[:, :m].astype(int)))
+
+    q = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.explode(lists("v")).alias("list"))
+    s = F.coalesce(F.try_divide(dot("qv", "v"), norm("qv") * norm("v")), F.lit(0.0))
+    pairs = rows.join(maybe_broadcast(q), "list").where("id <> query_id").select("query_id", F.col("id").alias("doc_id"), s.alias("score"))
+    return ranked(pairs, ["query_id"], by_score(), k)
+
+
+@CAT.query("ret_dense_ann")
+def _ann(spark, d):
+    return approximate_search(table(spark, d, "embeddings"), 50, 10).withColumn("score", F.round("score", 6))
