@@ -132,7 +132,7 @@ def bm25_top(docs: DataFrame, qs: DataFrame, k: int, k1: float = 1.5, b: float =
     if not len(names):
         return spark.createDataFrame([], f"{query} bigint, {doc} bigint, score double, rank int")
     # every document has one occurrence of the empty term, so that lengths come with the same pass
-    terms = maybe_broadcast(spark.createDataFrame(pd.DataFrame({"term": ["", *names], "tid": np.arange(-1, len(names))})))
+    terms = maybe_broadcast(spark.createDataFrame(pd.DataFrame({"term": ["", *names.tolist()], "tid": np.arange(-1, len(names))})))
     toks = docs.where("text is not null").select(F.col(doc).alias("doc"), words("text").alias("w"))
     hit = toks.select("doc", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term")).join(terms, "term").repartition("doc").groupBy("doc", "dl", "tid").agg(F.count(F.lit(1)).alias("tf"))
     hit = materialize(hit.sortWithinPartitions("doc"), "occurrences")
