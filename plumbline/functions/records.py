@@ -23,6 +23,24 @@ def classes(codes: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(ok, lambda c: F.when(c.rlike("^.{3}[A-Za-z]"), F.substring(c, 1, 4)).otherwise(F.substring(c, 1, 3)))))
 
 
+#: Concepts and their classes (fixed values); the given tables' ids of up to three digits stand for the
+#: entry of their number's remainder.
+CONCEPT_CLASSES = (("C71924100", "A61"), ("C126322002", "A61B A61F"), ("C203014093", "A61K"), ("C502942594", "A61P"), ("C185592680", "C07"), ("C178790620", "C07D"), ("C55493867", "C07K"), ("C86803240", "C12"), ("C54355233", "C12N"), ("C104317684", "C12Q"), ("C76155785", "G01N"))
+
+
+def concept_classes(concepts: Column) -> Column:
+    """Classes of a list of concepts, by the tail of their ids; unknown concepts have none."""
+    known = F.array(*(F.lit(k) for k, _ in CONCEPT_CLASSES))
+    listed = F.array(*(F.array(*(F.lit(c) for c in cs.split())) for _, cs in CONCEPT_CLASSES))
+
+    def of(x: Column) -> Column:
+        tail = F.substring_index(x["id"], "/", -1)
+        short = F.nullif(F.regexp_extract(tail, "^C([0-9]{1,3})$", 1), F.lit("")).try_cast("int") % len(CONCEPT_CLASSES)
+        return F.get(listed, F.coalesce(F.nullif(F.array_position(known, tail).cast("int"), F.lit(0)) - 1, short))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(F.coalesce(concepts, F.array()), of), lambda a: a.isNotNull()))))
+
+
 def label(c: Column) -> Column:
     """PARTIAL before ANTICIPATED before NOVEL, by what the answer contains; NOVEL by default."""
     u = F.upper(F.coalesce(c, F.lit("")))
@@ -45,12 +63,12 @@ def answer_json(c: Column) -> Column:
 
 
 #: Names of parameters whose values are hidden (fixed values).
-SECRET = "api_key token authorization password secret key"
+SECRET = ("api_key", "apikey", "key", "token", "secret", "password")
 
 
 def sanitized(params: Column) -> Column:
     """A parameter map with secrets redacted."""
-    return F.transform_values(params, lambda k, v: F.when(F.lower(k).isin(*SECRET.split()), F.lit("***")).otherwise(v))
+    return F.transform_values(params, lambda k, v: F.when(F.lower(k).isin(*SECRET), F.lit("[REDACTED]")).otherwise(v))
 
 
 @CAT.query("fn_ipc3", "SELECT query_no, coalesce(substr(ipc_codes[1], 1, 4), '') AS ipc FROM queries")
@@ -85,25 +103,39 @@ def _json(spark, d):
     return e.select("event_id", F.get_json_object("p", "$.page").alias("page"), F.col("p").isNotNull().alias("found"))
 
 
-@CAT.query("fn_sanitize", "SELECT event_id, CASE WHEN event_type IS NULL THEN NULL ELSE '***' END AS token, CAST(user_id AS STRING) AS user_id FROM events")
+@CAT.query("fn_sanitize", "SELECT event_id, CASE WHEN event_type IS NOT NULL THEN '[REDACTED]' END AS token, CASE WHEN event_type IS NOT NULL THEN '[REDACTED]' END AS apikey, CAST(user_id AS STRING) AS user_id FROM events")
 def _sanitize(spark, d):
-    m = F.create_map(F.lit("Token"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    m = F.create_map(F.lit("Token"), F.col("event_type"), F.lit("APIkey"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
     e = table(spark, d, "events").select("event_id", sanitized(m).alias("m"), "event_type")
-    return e.select("event_id", F.when(F.col("event_type").isNotNull(), F.col("m")["Token"]).alias("token"), F.col("m")["user"].alias("user_id"))
+    return e.select("event_id", F.when(F.col("event_type").isNotNull(), F.col("m")["Token"]).alias("token"), F.when(F.col("event_type").isNotNull(), F.col("m")["APIkey"]).alias("apikey"), F.col("m")["user"].alias("user_id"))
+
 
+_MAP_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs.split())
 
-@CAT.query("fn_concept_ipc", "WITH c AS (SELECT DISTINCT paper_id, x.id AS id FROM (SELECT paper_id, unnest(concepts) AS x FROM papers)) SELECT paper_id, list_sort(list_distinct(list('A' || substr(id, 2, 1)))) AS classes FROM c GROUP BY 1")
+
+@CAT.query("fn_concept_ipc", f"WITH m(i, id, cls) AS (VALUES {_MAP_ROWS}), c AS (SELECT DISTINCT paper_id, regexp_extract(x.id, '[^/]*$') AS id FROM (SELECT paper_id, unnest(concepts) AS x FROM papers)) SELECT paper_id, string_agg(DISTINCT cls, ' ' ORDER BY cls) AS classes FROM c JOIN m ON m.id = c.id OR m.i = try_cast(nullif(regexp_extract(c.id, '^C([0-9]{{1,3}})$', 1), '') AS INT) % {len(CONCEPT_CLASSES)} GROUP BY 1")
 def _concept(spark, d):
-    p = table(spark, d, "papers").select("paper_id", F.explode("concepts").alias("x")).select("paper_id", F.element_at(F.split("x.id", "/"), -1).alias("id"))
-    return p.groupBy("paper_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("A"), F.substring("id", 2, 1)))).alias("classes"))
+    p = table(spark, d, "papers").select("paper_id", concept_classes(F.col("concepts")).alias("c")).distinct()
+    return p.where("size(c) > 0").select("paper_id", F.array_join("c", " ").alias("classes"))
 
 
-@CAT.query("fn_domain_type", "SELECT a.query_no, CASE WHEN list_has_any(coalesce(a.ipc_codes, []), coalesce(b.ipc_codes, [])) THEN 'IN' ELSE 'OUT' END AS domain_type FROM queries a JOIN queries b ON b.query_no = a.query_no + 7")
-def _type(spark, d):
+def domain_type(query_classes: Column, doc_classes: Column) -> Column:
+    """IN where the two sides share a class; nothing on either side is OUT."""
     none = F.array().cast("array<string>")
-    q = table(spark, d, "queries").select("query_no", F.coalesce("ipc_codes", none).alias("a"))
-    b = q.select((F.col("query_no") - 7).alias("query_no"), F.col("a").alias("b"))
-    return q.join(b, "query_no").select("query_no", F.when(F.arrays_overlap("a", "b"), "IN").otherwise("OUT").alias("domain_type"))
+    return F.when(F.arrays_overlap(F.coalesce(query_classes, none), F.coalesce(doc_classes, none)), "IN").otherwise("OUT")
+
+
+@CAT.query("fn_domain_type", withs("qrels") + f""", m(i, id, cls) AS (VALUES {_MAP_ROWS}), w AS (SELECT doc_id, m.cls FROM (SELECT DISTINCT doc_id FROM qrels) JOIN m ON m.i = try_cast(right(doc_id, 1) AS INT)),
+q AS (SELECT clean_id(_id) AS query_id, unnest(ipc_codes) AS c FROM queries), x AS (SELECT DISTINCT query_id, CASE WHEN regexp_matches(c, '^.{{3}}[A-Za-z]') THEN substr(c, 1, 4) ELSE substr(c, 1, 3) END AS cls FROM q WHERE length(c) >= 3)
+SELECT query_id, doc_id, CASE WHEN EXISTS (SELECT 1 FROM x JOIN w USING (cls) WHERE x.query_id = qrels.query_id AND w.doc_id = qrels.doc_id) THEN 'IN' ELSE 'OUT' END AS domain_type FROM qrels""")
+def _type(spark, d):
+    """The pairs judged; a document's last digit stands for its concept."""
+    from .text import clean_id
+
+    q = table(spark, d, "queries").select(clean_id("_id").alias("query_id"), F.explode(classes(F.col("ipc_codes"))).alias("c")).groupBy("query_id").agg(F.collect_set("c").alias("a"))
+    concept = F.array(F.struct(F.concat(F.lit("C"), F.right("doc_id", F.lit(1))).alias("id")))
+    r = rel(spark, d, "qrels").select("query_id", "doc_id", concept_classes(concept).alias("b"))
+    return r.join(q, "query_id", "left").select("query_id", "doc_id", domain_type(F.col("a"), F.col("b")).alias("domain_type"))
 
 
 @CAT.query("fn_domain_cols_q", "SELECT domain, min(c) AS least_class, count(*) AS n FROM (SELECT coalesce(domain, 'unknown') AS domain, list_min(list_transform(ipc_codes, lambda c: substr(c, 1, 3))) AS c FROM queries) GROUP BY 1")

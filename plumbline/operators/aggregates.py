@@ -30,10 +30,12 @@ def _link_stats(spark, d):
     return per.crossJoin(F.broadcast(l.agg(F.count_distinct("paper_id").alias("n_papers"))))
 
 
-@CAT.query("agg_qrels_stats", withs("qrels", "doc_types") + ", t AS (SELECT q.*, coalesce(doc_type, 'paper') AS doc_type FROM qrels q LEFT JOIN doc_types USING (doc_id)), c AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1) SELECT doc_type, relevance, count(*) AS n, count(DISTINCT query_id) AS n_queries FROM t GROUP BY 1, 2")
+@CAT.query("agg_qrels_stats", withs("qrels", "doc_types") + ", t AS (SELECT q.*, coalesce(doc_type, 'paper') AS doc_type FROM qrels q LEFT JOIN doc_types USING (doc_id)), c AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1), m AS (SELECT round(avg(n), 6) AS mean_per_query, quantile_cont(n::DOUBLE, 0.5) AS median_per_query FROM c) SELECT doc_type, relevance, count(*) AS n, count(DISTINCT query_id) AS n_queries, count(DISTINCT doc_id) AS n_documents, any_value(mean_per_query) AS mean_per_query, any_value(median_per_query) AS median_per_query FROM t, m GROUP BY 1, 2")
 def _qrels_stats(spark, d):
     q = rel(spark, d, "qrels").join(rel(spark, d, "doc_types"), "doc_id", "left")
-    return q.groupBy(F.coalesce("doc_type", F.lit("paper")).alias("doc_type"), "relevance").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("n_queries"))
+    per = rel(spark, d, "qrels").groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.round(F.avg("n"), 6).alias("mean_per_query"), F.percentile("n", 0.5).alias("median_per_query"))  # one row
+    g = q.groupBy(F.coalesce("doc_type", F.lit("paper")).alias("doc_type"), "relevance").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("n_queries"), F.count_distinct("doc_id").alias("n_documents"))
+    return g.crossJoin(F.broadcast(per))
 
 
 @CAT.query("agg_relevance_dist", withs("qrels") + "SELECT relevance, CASE relevance WHEN 3 THEN 'novelty_destroying' WHEN 2 THEN 'highly_relevant' WHEN 1 THEN 'relevant' ELSE 'not_relevant' END AS label, count(*) AS n FROM qrels GROUP BY 1, 2")

@@ -147,11 +147,6 @@ def jurisdiction(c: str) -> Column:
     return F.when(F.col(c).rlike("^(US|EP|WO)[0-9]"), F.substring(c, 1, 2)).when(F.col(c).startswith("W"), "paper").otherwise("other")
 
 
-@CAT.query("met_jurisdiction", _sql([10]) + f", t AS (SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored), j AS (SELECT s.system, {_J.format(c='q.doc_id')} AS jurisdiction, coalesce(t.rank <= 3, false) AS found FROM rq q CROSS JOIN (SELECT DISTINCT system FROM scored) s LEFT JOIN t ON t.system = s.system AND t.query_id = q.query_id AND t.doc_id = q.doc_id) SELECT system, jurisdiction, count(*) AS total, count(*) FILTER (WHERE found) AS hits, round(count(*) FILTER (WHERE found)::DOUBLE / count(*), 6) AS recall FROM j GROUP BY 1, 2")
-def _jurisdictions(spark, d):
-    return found_within(spark, d, 3).groupBy("system", jurisdiction("doc_id").alias("jurisdiction")).agg(F.count(F.lit(1)).alias("total"), F.count_if("found").alias("hits"), F.round(F.count_if("found") / F.count(F.lit(1)), 6).alias("recall"))
-
-
 def found_within(spark, d, k: int) -> DataFrame:
     """Each relevant pair and system, and whether the system has it among its first k."""
     s = rel(spark, d, "scored")
@@ -161,23 +156,11 @@ def found_within(spark, d, k: int) -> DataFrame:
     return q.join(top, ["system", "query_id", "doc_id"], "left").withColumn("found", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-@CAT.query("met_jur_matrix", _sql([10]) + f", t AS (SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored), j AS (SELECT {_J.format(c='q.query_id')} AS query_jurisdiction, {_J.format(c='q.doc_id')} AS doc_jurisdiction, coalesce(t.rank <= 5, false) AS found FROM rq q CROSS JOIN (SELECT DISTINCT system FROM scored) s LEFT JOIN t ON t.system = s.system AND t.query_id = q.query_id AND t.doc_id = q.doc_id) SELECT query_jurisdiction, doc_jurisdiction, count(*) AS total, count(*) FILTER (WHERE found) AS hits FROM j GROUP BY 1, 2")
-def _matrix(spark, d):
-    return found_within(spark, d, 5).groupBy(jurisdiction("query_id").alias("query_jurisdiction"), jurisdiction("doc_id").alias("doc_jurisdiction")).agg(F.count(F.lit(1)).alias("total"), F.count_if("found").alias("hits"))
-
-
 @CAT.query("met_by_grade", _sql([10]) + ", t AS (SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) SELECT s.system, q.relevance, count(*) AS total, count(*) FILTER (WHERE t.rank <= 3) AS hits FROM rq q CROSS JOIN (SELECT DISTINCT system FROM scored) s LEFT JOIN t ON t.system = s.system AND t.query_id = q.query_id AND t.doc_id = q.doc_id GROUP BY 1, 2")
 def _by_grade(spark, d):
     return found_within(spark, d, 3).groupBy("system", "relevance").agg(F.count(F.lit(1)).alias("total"), F.count_if("found").alias("hits"))
 
 
-@CAT.query("met_cross_type", _sql([10]) + ", dt AS (SELECT clean_id(_id) AS doc_id, min(doc_type) AS doc_type FROM corpus WHERE doc_type IS NOT NULL GROUP BY 1), t AS (SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored), x AS (SELECT s.system, coalesce(dt.doc_type, 'paper') AS doc_type, coalesce(t.rank <= 3, false) AS found FROM rq q CROSS JOIN (SELECT DISTINCT system FROM scored) s LEFT JOIN dt USING (doc_id) LEFT JOIN t ON t.system = s.system AND t.query_id = q.query_id AND t.doc_id = q.doc_id), r AS (SELECT system, count(*) FILTER (WHERE found AND doc_type = 'paper')::DOUBLE / nullif(count(*) FILTER (WHERE doc_type = 'paper'), 0) AS a, count(*) FILTER (WHERE found AND doc_type = 'patent')::DOUBLE / nullif(count(*) FILTER (WHERE doc_type = 'patent'), 0) AS b FROM x GROUP BY 1) SELECT system, round(a, 6) AS paper_recall, round(b, 6) AS patent_recall, round(a / nullif(b, 0), 6) AS bias FROM r")
-def _cross(spark, d):
-    f = found_within(spark, d, 3).join(rel(spark, d, "doc_types"), "doc_id", "left").withColumn("t", F.coalesce("doc_type", F.lit("paper")))
-    part = lambda k: F.try_divide(F.count_if(F.col("found") & (F.col("t") == k)).cast("double"), F.count_if(F.col("t") == k).cast("double"))
-    return f.groupBy("system").agg(part("paper").alias("a"), part("patent").alias("b")).select("system", F.round("a", 6).alias("paper_recall"), F.round("b", 6).alias("patent_recall"), F.round(F.try_divide("a", "b"), 6).alias("bias"))
-
-
 @CAT.query("abl_ipc", _sql([10]) + ", m AS (SELECT DISTINCT clean_id(_id) AS query_id, substr(c, 1, 3) AS ipc3 FROM (SELECT _id, unnest(ipc_codes) AS c FROM queries)), g AS (SELECT system, ipc3, per.* EXCLUDE (system) FROM per JOIN m USING (query_id)) SELECT system, ipc3, count(*) AS n_queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(r_10), 6) AS r_10 FROM g GROUP BY 1, 2 HAVING count(*) >= 10")
 def _ipc(spark, d):
     from ..sources.tables import table
@@ -195,3 +178,50 @@ def _time(spark, d):
     per = per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]).join(t, "query_id", "left")
     age = F.when(F.col("p") >= F.lit("2010-01-01").cast("date"), "newer").otherwise("older")
     return per.groupBy("system", age.alias("age")).agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))
+
+
+#: Depths of the micro recalls.
+DEPTHS = (10, 50, 100)
+
+
+def placed(spark, d) -> DataFrame:
+    """Relevant pairs of the queries each system answers, with the system's ``rank`` of the document or null."""
+    s = rel(spark, d, "scored")
+    top = ranked(s, ["system", "query_id"], by_score(), max(DEPTHS)).select("system", "query_id", "doc_id", "rank")
+    asked = s.select("system", "query_id").distinct().join(rel(spark, d, "qrels").where("relevance >= 1"), "query_id")
+    return asked.join(top, ["system", "query_id", "doc_id"], "left")
+
+
+_PLACED = _sql([10]) + ", x AS (SELECT s.system, q.query_id, q.doc_id, q.relevance, t.rank FROM (SELECT DISTINCT system, query_id FROM scored) s JOIN rq q USING (query_id) LEFT JOIN tops t USING (system, query_id, doc_id))"
+
+
+def _micro(where: str = "true") -> str:
+    return ", ".join(f"count(*) FILTER (WHERE rank <= {k} AND {where}) AS hits_{k}, round(coalesce(count(*) FILTER (WHERE rank <= {k} AND {where})::DOUBLE / nullif(count(*) FILTER (WHERE {where}), 0), 0), 6) AS recall_{k}" for k in DEPTHS)
+
+
+def micro() -> list[Column]:
+    return [c for k in DEPTHS for c in (F.count_if(F.col("rank") <= k).alias(f"hits_{k}"), F.round(F.coalesce(F.try_divide(F.count_if(F.col("rank") <= k).cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)), 6).alias(f"recall_{k}"))]
+
+
+@CAT.query("met_jurisdiction", _PLACED + f" SELECT system, {_J.format(c='doc_id')} AS jurisdiction, count(*) AS total, {_micro()} FROM x GROUP BY 1, 2")
+def _jurisdictions(spark, d):
+    return placed(spark, d).groupBy("system", jurisdiction("doc_id").alias("jurisdiction")).agg(F.count(F.lit(1)).alias("total"), *micro())
+
+
+@CAT.query("met_jur_matrix", _PLACED + f" SELECT {_J.format(c='query_id')} AS query_jurisdiction, {_J.format(c='doc_id')} AS doc_jurisdiction, count(*) AS total, {_micro()} FROM x GROUP BY CUBE (1, 2)")
+def _matrix(spark, d):
+    """Hits and totals by the places of query and document, and the distribution over either alone (null: all)."""
+    x = placed(spark, d).select(jurisdiction("query_id").alias("query_jurisdiction"), jurisdiction("doc_id").alias("doc_jurisdiction"), "rank")
+    return x.cube("query_jurisdiction", "doc_jurisdiction").agg(F.count(F.lit(1)).alias("total"), *micro())
+
+
+@CAT.query("met_cross_type", _PLACED + ", dt AS (SELECT clean_id(_id) AS doc_id, min(doc_type) AS doc_type FROM corpus WHERE doc_type IS NOT NULL AND _id IS NOT NULL GROUP BY 1), y AS (SELECT x.*, coalesce(doc_type, 'paper') AS kind, k FROM x LEFT JOIN dt USING (doc_id), (SELECT unnest([10, 50, 100]) AS k)), r AS (SELECT system, k, coalesce(count(*) FILTER (WHERE rank <= k AND kind = 'paper')::DOUBLE / nullif(count(*) FILTER (WHERE kind = 'paper'), 0), 0) AS a, coalesce(count(*) FILTER (WHERE rank <= k AND kind = 'patent')::DOUBLE / nullif(count(*) FILTER (WHERE kind = 'patent'), 0), 0) AS b FROM y GROUP BY 1, 2) SELECT system, k, round(a, 6) AS paper_recall, round(b, 6) AS patent_recall, CASE WHEN b > 0 THEN round(a / b, 6) ELSE 'inf'::DOUBLE END AS bias FROM r")
+def _cross(spark, d):
+    """Micro recall by type of document at each depth, and their ratio; infinite where no patent is found."""
+    x = placed(spark, d).join(rel(spark, d, "doc_types"), "doc_id", "left").withColumn("t", F.coalesce("doc_type", F.lit("paper")))
+    z = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    part = lambda kind, k: z(F.count_if((F.col("rank") <= k) & (F.col("t") == kind)), F.count_if(F.col("t") == kind))
+    g = x.groupBy("system").agg(*(part(kind, k).alias(f"{kind}{k}") for kind in ("paper", "patent") for k in DEPTHS))
+    row = lambda k: F.struct(F.lit(k).alias("k"), F.col(f"paper{k}").alias("a"), F.col(f"patent{k}").alias("b"))
+    r = g.select("system", F.inline(F.array(*(row(k) for k in DEPTHS))))
+    return r.select("system", "k", F.round("a", 6).alias("paper_recall"), F.round("b", 6).alias("patent_recall"), F.when(F.col("b") > 0, F.round(F.col("a") / F.col("b"), 6)).otherwise(F.lit(float("inf"))).alias("bias"))

@@ -43,9 +43,18 @@ def _typed(spark, d):
     return ranked(kept, ["query_id"], [F.col("r").asc()], 3).select("query_id", "doc_id", "rank")
 
 
-@CAT.query("top_patents", withs("links") + "SELECT patent_id, count(*) AS n FROM links GROUP BY 1 ORDER BY n DESC, patent_id LIMIT 50")
+@CAT.query("top_patents", withs("links") + ", p AS (SELECT patent_id, count(*) AS n FROM links GROUP BY 1) SELECT patent_id, n FROM p QUALIFY (SELECT count(*) FROM p) <= 100 OR row_number() OVER (ORDER BY n DESC, patent_id) <= 150")
 def _patents(spark, d):
-    return rel(spark, d, "links").groupBy("patent_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("patent_id")).limit(50)
+    return most_cited(rel(spark, d, "links"), "patent_id", 50)
+
+
+def most_cited(df: DataFrame, key: str, target: int) -> DataFrame:
+    """Keys by their number of rows: all, or three times the target if there are more than twice as many."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    top = n.orderBy(F.desc("n"), F.asc(key)).limit(3 * target)
+    total = n.agg(F.count(F.lit(1)).alias("_t"))  # one row
+    few = n.crossJoin(F.broadcast(total)).where(F.col("_t") <= 2 * target).drop("_t")
+    return top.unionByName(few).distinct()
 
 
 @CAT.query("top_docs_grade", withs("qrels") + "SELECT query_id, doc_id, relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS rank FROM qrels) WHERE rank <= 5")

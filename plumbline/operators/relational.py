@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
+from ..functions.records import CONCEPT_CLASSES, concept_classes
 from ..functions.text import clean_id
 from ..plans.catalog import Catalogue, rel, withs
 from ..plans.sizing import maybe_broadcast
@@ -130,12 +131,13 @@ def merged(first: DataFrame, second: DataFrame, keys: list[str], extra: str) ->
 
 
 @CAT.query("join_left_anti_union", withs("links") + """, a AS (SELECT patent_id, paper_id, max(confidence) AS confidence FROM links WHERE source = 'examiner' GROUP BY 1, 2), b AS (SELECT patent_id, paper_id, max(claim_number) AS rejection FROM links WHERE source <> 'applicant' GROUP BY 1, 2)
-SELECT a.patent_id, a.paper_id, a.confidence, b.rejection FROM a LEFT JOIN b USING (patent_id, paper_id) UNION ALL SELECT b.patent_id, b.paper_id, NULL, b.rejection FROM b ANTI JOIN a USING (patent_id, paper_id)""")
+SELECT a.patent_id, a.paper_id, a.confidence, b.rejection FROM a LEFT JOIN b USING (patent_id, paper_id) UNION ALL SELECT b.patent_id, b.paper_id, 10, b.rejection FROM b ANTI JOIN a USING (patent_id, paper_id)""")
 def _merge(spark, d):
     l = rel(spark, d, "links")
     a = l.where("source = 'examiner'").groupBy("patent_id", "paper_id").agg(F.max("confidence").alias("confidence"))
     b = l.where("source <> 'applicant'").groupBy("patent_id", "paper_id").agg(F.max("claim_number").alias("rejection"))
-    return merged(a, b, ["patent_id", "paper_id"], "rejection").select("patent_id", "paper_id", "confidence", "rejection")
+    # what the office action alone names counts as sure
+    return merged(a, b.withColumn("confidence", F.lit(10)), ["patent_id", "paper_id"], "rejection").select("patent_id", "paper_id", "confidence", "rejection")
 
 
 @CAT.query("join_left_override", withs("links") + ", r AS (SELECT query_id, max(CASE WHEN claim_number = 1 THEN 3 ELSE 2 END) AS override FROM links WHERE confidence >= 9 GROUP BY 1) SELECT l.query_id, l.paper_id, coalesce(r.override, CASE WHEN l.confidence >= 7 THEN 1 ELSE 0 END)::INT AS relevance FROM links l LEFT JOIN r USING (query_id)")
@@ -176,9 +178,6 @@ def _ipc4(spark, d):
     return ranked(m, ["query_no"], hash_order("other", 42), 10).select("query_no", "other")
 
 
-#: Concepts and their classes; the given tables' ids of up to three digits stand for the entry of
-#: their number's remainder.
-CONCEPT_CLASSES = (("C71924100", "A61"), ("C126322002", "A61B A61F"), ("C203014093", "A61K"), ("C502942594", "A61P"), ("C185592680", "C07"), ("C178790620", "C07D"), ("C55493867", "C07K"), ("C86803240", "C12"), ("C54355233", "C12N"), ("C104317684", "C12Q"), ("C76155785", "G01N"))
 _CLASS_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs.split())
 
 
@@ -192,11 +191,7 @@ def _qrels_domain(spark, d):
     c = F.col("c")
     q = table(spark, d, "queries").select(clean_id("_id").alias("query_id"), F.explode("ipc_codes").alias("c")).where("length(c) >= 3")
     q = q.groupBy("query_id").agg(F.collect_set(F.when(c.rlike("^.{3}[A-Za-z]"), F.substring(c, 1, 4)).otherwise(F.substring(c, 1, 3))).alias("a"))
-    listed = F.array(*(F.split(F.lit(cs), " ") for _, cs in CONCEPT_CLASSES))
-    known = F.array(*(F.lit(k) for k, _ in CONCEPT_CLASSES))
-    i = F.coalesce(F.nullif(F.array_position(known, F.col("id")), F.lit(0)) - 1, F.expr(f"try_cast(nullif(regexp_extract(id, '^C([0-9]{{1,3}})$', 1), '') AS INT) % {len(CONCEPT_CLASSES)}"))
-    p = table(spark, d, "papers").select(F.col("paper_id").alias("doc_id"), F.explode("concepts").alias("x")).select("doc_id", F.substring_index("x.id", "/", -1).alias("id"))
-    p = p.select("doc_id", F.explode(F.get(listed, i.cast("int"))).alias("c")).groupBy("doc_id").agg(F.collect_set("c").alias("b"))
+    p = table(spark, d, "papers").select(F.col("paper_id").alias("doc_id"), F.explode(concept_classes(F.col("concepts"))).alias("c")).groupBy("doc_id").agg(F.collect_set("c").alias("b"))
     shared = F.coalesce(F.arrays_overlap("a", "b"), F.lit(False))
     return rel(spark, d, "qrels").join(q, "query_id", "left").join(p, "doc_id", "left").select("query_id", "doc_id", "relevance", F.when(shared, "IN").otherwise("OUT").alias("domain_type"))
 
@@ -248,21 +243,48 @@ def _fallback(spark, d):
     return day_by_fallback(q.select("query_id", "patent_id").distinct(), q, dates).select("query_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-@CAT.query("join_claim_paper", withs("links") + ", r AS (SELECT DISTINCT patent_id, claim_number FROM links WHERE confidence >= 9), c AS (SELECT DISTINCT patent_id, claim_number, paper_id FROM links) SELECT DISTINCT concat(r.patent_id, '-c', CAST(r.claim_number AS STRING)) AS query_id, c.paper_id FROM r JOIN c USING (patent_id, claim_number)")
+def claim_papers(rejections: DataFrame, cited: DataFrame, patents: DataFrame) -> DataFrame:
+    """(query_id, paper_id) once each: rejected claims (app_id, letter, claim_number) with the papers cited in
+    the same letter (app_id, letter, paper_id) of an application that became a patent (app_id, patent_id)."""
+    j = rejections.join(cited.where("paper_id is not null"), ["app_id", "letter"]).join(patents.select("app_id", "patent_id").distinct(), "app_id", "left")
+    return j.select(F.concat("patent_id", F.lit("-c"), F.col("claim_number").cast("string")).alias("query_id"), "paper_id").distinct()
+
+
+@CAT.query("join_claim_paper", "WITH r AS (SELECT DISTINCT l_orderkey AS app_id, l_suppkey AS letter, l_linenumber AS claim_number FROM lineitem WHERE l_returnflag = 'A'), c AS (SELECT l_orderkey AS app_id, l_suppkey AS letter, l_partkey::VARCHAR AS paper_id FROM lineitem), m AS (SELECT DISTINCT o_orderkey AS app_id, 'US' || o_custkey || '-' || o_orderkey AS patent_id FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT patent_id || '-c' || claim_number AS query_id, paper_id FROM r JOIN c USING (app_id, letter) LEFT JOIN m USING (app_id)")
 def _claim_paper(spark, d):
-    l = rel(spark, d, "links")
-    r = l.where("confidence >= 9").select("patent_id", "claim_number").distinct()
-    c = l.select("patent_id", "claim_number", "paper_id").distinct()
-    return r.join(c, ["patent_id", "claim_number"]).select(F.concat("patent_id", F.lit("-c"), F.col("claim_number").cast("string")).alias("query_id"), "paper_id").distinct()
+    """Order lines stand for the letters of an application, finished orders for applications that became patents."""
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("app_id"), F.col("l_suppkey").alias("letter"), F.col("l_linenumber").alias("claim_number"), F.col("l_partkey").cast("string").alias("paper_id"), "l_returnflag")
+    patents = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("app_id"), F.concat(F.lit("US"), F.col("o_custkey").cast("string"), F.lit("-"), F.col("o_orderkey").cast("string")).alias("patent_id"))
+    return claim_papers(l.where("l_returnflag = 'A'").select("app_id", "letter", "claim_number").distinct(), l.select("app_id", "letter", "paper_id"), patents)
 
 
 # --- sets ----------------------------------------------------------------------------------
 
 
-@CAT.query("set_union_corpus", withs("papers1", "corpus1") + "SELECT doc_id, max(kind) AS kind FROM (SELECT paper_id AS doc_id, 'paper' AS kind FROM papers1 UNION ALL SELECT doc_id, 'corpus' FROM corpus1) GROUP BY 1")
+def negatives_like(rows: DataFrame, positives: DataFrame, by: str, each: int, seed: int = 42) -> DataFrame:
+    """Ids of rows (paper_id, ``by``) that share a value with a positive, up to ``each`` per positive of the value, in hash order."""
+    from .ranking import hash_order, ranked
+
+    n = rows.join(positives, "paper_id", "left_semi").where(F.col(by).isNotNull()).groupBy(by).agg((F.count_distinct("paper_id") * each).alias("_k"))
+    rest = rows.join(positives, "paper_id", "left_anti").join(n, by)
+    return ranked(rest, [by], hash_order("paper_id", seed)).where("rank <= _k").select("paper_id").distinct()
+
+
+@CAT.query("set_union_corpus", withs("papers1") + """, po AS (SELECT paper_id FROM papers1 WHERE cited_by_count >= 50), c AS (SELECT DISTINCT paper_id, x.id AS concept FROM (SELECT paper_id, unnest(concepts) AS x FROM papers)),
+jn AS (SELECT paper_id, row_number() OVER (PARTITION BY journal ORDER BY md5('42:' || paper_id), paper_id) AS r, k FROM papers1 JOIN (SELECT journal, 5 * count(*) AS k FROM papers1 SEMI JOIN po USING (paper_id) WHERE journal IS NOT NULL GROUP BY 1) USING (journal) ANTI JOIN po USING (paper_id)),
+cn AS (SELECT paper_id, row_number() OVER (PARTITION BY concept ORDER BY md5('42:' || paper_id), paper_id) AS r, k FROM c JOIN (SELECT concept, 5 * count(*) AS k FROM c SEMI JOIN po USING (paper_id) GROUP BY 1) USING (concept) ANTI JOIN po USING (paper_id)),
+u AS (SELECT paper_id, 0 AS o FROM po UNION ALL SELECT paper_id, 1 FROM jn WHERE r <= k UNION ALL SELECT paper_id, 2 FROM cn WHERE r <= k) SELECT paper_id, CASE min(o) WHEN 0 THEN 'positive' WHEN 1 THEN 'journal' ELSE 'concept' END AS kind FROM u GROUP BY 1""")
 def _union_corpus(spark, d):
-    p = rel(spark, d, "papers1").select(F.col("paper_id").alias("doc_id"), F.lit("paper").alias("kind"))
-    return p.unionByName(rel(spark, d, "corpus1").select("doc_id", F.lit("corpus").alias("kind"))).groupBy("doc_id").agg(F.max("kind").alias("kind"))
+    """Positives and hard negatives, half of the quota of ten each by journal and by concept; an id counts once, with its first kind."""
+    p = rel(spark, d, "papers1")
+    pos = p.where("cited_by_count >= 50").select("paper_id")
+    concepts = table(spark, d, "papers").select("paper_id", F.explode("concepts").alias("x")).select("paper_id", F.col("x.id").alias("concept")).distinct()
+    parts = [(pos, 0), (negatives_like(p.select("paper_id", "journal"), pos, "journal", 5), 1), (negatives_like(concepts, pos, "concept", 5), 2)]
+    u = parts[0][0].withColumn("o", F.lit(0))
+    for df, o in parts[1:]:
+        u = u.unionByName(df.withColumn("o", F.lit(o)))
+    o = F.min("o")
+    return u.groupBy("paper_id").agg(F.when(o == 0, "positive").when(o == 1, "journal").otherwise("concept").alias("kind"))
 
 
 @CAT.query("set_union_qrels", withs("qrels", "judged") + "SELECT query_id, doc_id, max(relevance) AS relevance FROM (SELECT query_id, doc_id, relevance FROM qrels UNION ALL SELECT query_id, doc_id, score FROM judged) GROUP BY 1, 2 HAVING max(relevance) > 0")
@@ -271,11 +293,14 @@ def _union_qrels(spark, d):
     return a.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance")).where("relevance > 0")
 
 
-@CAT.query("set_union_sources", withs("links") + "SELECT patent_id, paper_id, min(rank) AS rank FROM (SELECT patent_id, paper_id, 1 AS rank FROM links WHERE source = 'examiner' UNION ALL SELECT patent_id, paper_id, 2 FROM links WHERE source = 'applicant') GROUP BY 1, 2")
+@CAT.query("set_union_sources", withs("links") + "SELECT patent_id, paper_id, CASE min(rank) WHEN 1 THEN 'examiner' WHEN 2 THEN 'applicant' ELSE 'negative' END AS source FROM (SELECT patent_id, paper_id, CASE source WHEN 'examiner' THEN 1 WHEN 'applicant' THEN 2 ELSE 3 END AS rank, bool_or(source <> 'both') OVER (PARTITION BY patent_id) AS cited FROM links) WHERE cited GROUP BY 1, 2")
 def _union_sources(spark, d):
-    # both branches read one scan: the rank is a projection, not a second pass
-    l = rel(spark, d, "links").where("source in ('examiner', 'applicant')")
-    return l.groupBy("patent_id", "paper_id").agg(F.min(F.when(F.col("source") == "examiner", 1).otherwise(2)).alias("rank"))
+    """Citations by their first source; negatives (here the links of both sides) only where the patent has a citation of another source."""
+    # all branches read one scan: the source is a projection, not a further pass
+    l = rel(spark, d, "links")
+    cited = l.where("source <> 'both'").select("patent_id").distinct()
+    rank = F.min(F.when(F.col("source") == "examiner", 1).when(F.col("source") == "applicant", 2).otherwise(3))
+    return l.join(cited, "patent_id", "left_semi").groupBy("patent_id", "paper_id").agg(F.when(rank == 1, "examiner").when(rank == 2, "applicant").otherwise("negative").alias("source"))
 
 
 @CAT.query("set_common_queries", withs("scored") + "SELECT query_id FROM scored GROUP BY 1 HAVING count(DISTINCT system) = (SELECT count(DISTINCT system) FROM scored)")

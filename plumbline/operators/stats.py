@@ -56,14 +56,20 @@ def _cohen_w(spark, d):
     return kappa(_pairs(spark, d), "a", "b", ["model"], weighted=True)
 
 
-@CAT.query("st_fleiss", withs("judged") + """, v AS (SELECT query_id, doc_id, score, count(*) AS n FROM judged GROUP BY 1, 2, 3), i AS (SELECT query_id, doc_id, sum(n) AS n, sum(n * (n - 1)) AS pairs FROM v GROUP BY 1, 2 HAVING sum(n) > 1), o AS (SELECT count(*) AS n_items, avg(pairs::DOUBLE / (n * (n - 1))::DOUBLE) AS po FROM i),
-g AS (SELECT score, sum(v.n)::DOUBLE AS m FROM v JOIN i USING (query_id, doc_id) GROUP BY 1), e AS (SELECT sum((m / (SELECT sum(m) FROM g)) ** 2) AS pe FROM g) SELECT n_items, round(po, 6) AS observed, round((po - pe) / (1 - pe), 6) AS kappa FROM o, e""")
+@CAT.query("st_fleiss", withs("judged") + """, v AS (SELECT query_id, doc_id, score, count(*) AS n FROM judged GROUP BY 1, 2, 3), i AS (SELECT query_id, doc_id, sum(n * n) AS sq FROM v GROUP BY 1, 2 HAVING sum(n) = 3), o AS (SELECT count(*) AS n_items, avg((sq - 3)::DOUBLE / 6) AS po FROM i),
+g AS (SELECT score, sum(v.n)::DOUBLE AS m FROM v SEMI JOIN i USING (query_id, doc_id) GROUP BY 1), e AS (SELECT sum((m / (SELECT sum(m) FROM g)) ** 2) AS pe FROM g) SELECT n_items, round(po, 6) AS observed, round(CASE WHEN abs(1 - pe) < 1e-10 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM o, e""")
 def _fleiss(spark, d):
-    v = rel(spark, d, "judged").groupBy("query_id", "doc_id").agg(*(F.count_if(F.col("score") == k).alias(f"n{k}") for k in range(4)), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = sum((F.col(f"n{k}") * (F.col(f"n{k}") - 1) for k in range(1, 4)), F.col("n0") * (F.col("n0") - 1))
-    t = v.agg(F.count(F.lit(1)).alias("n_items"), F.avg(pairs / (F.col("n") * (F.col("n") - 1))).alias("po"), F.sum("n").alias("n"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
-    pe = sum((F.pow(F.try_divide(F.col(f"n{k}"), F.col("n")), 2) for k in range(1, 4)), F.pow(F.try_divide(F.col("n0"), F.col("n")), 2))
-    return t.select("n_items", F.round("po", 6).alias("observed"), F.round(F.try_divide(F.col("po") - pe, 1 - pe), 6).alias("kappa"))
+    return fleiss(rel(spark, d, "judged"), ["query_id", "doc_id"], "score", range(4), 3)
+
+
+def fleiss(df: DataFrame, item: list[str], grade: str, grades, raters: int) -> DataFrame:
+    """(n_items, observed, kappa) over the items with exactly as many ratings as there are raters; others
+    are incomplete and left out. 1 where chance agreement is complete."""
+    v = df.groupBy(*item).agg(*(F.count_if(F.col(grade) == k).alias(f"n{k}") for k in grades), F.count(F.lit(1)).alias("n")).where(F.col("n") == raters)
+    pairs = sum(F.col(f"n{k}") * (F.col(f"n{k}") - 1) for k in grades)
+    t = v.agg(F.count(F.lit(1)).alias("n_items"), F.avg(pairs / F.lit(float(raters * (raters - 1)))).alias("po"), F.sum("n").alias("n"), *(F.sum(f"n{k}").alias(f"n{k}") for k in grades))
+    pe = sum(F.pow(F.try_divide(F.col(f"n{k}"), F.col("n")), 2) for k in grades)
+    return t.select("n_items", F.round("po", 6).alias("observed"), F.round(F.when(F.abs(1 - pe) < 1e-10, 1.0).otherwise((F.col("po") - pe) / (1 - pe)), 6).alias("kappa"))
 
 
 @CAT.query("st_majority", withs("judged") + """, v AS (SELECT query_id, doc_id, score, count(*) AS n FROM judged GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY n DESC, score) AS k, count(*) OVER (PARTITION BY query_id, doc_id) AS kinds FROM v), m AS (SELECT query_id, doc_id, list_sort(list(score)) AS s FROM judged GROUP BY 1, 2)
@@ -179,24 +185,40 @@ def t_p_value(t: float, n: int) -> float:
     return _incomplete_beta(v / 2, 0.5, v / (v + t * t))
 
 
-@CAT.query("st_sig_matrix")
-def _matrix(spark, d):
-    """All pairs of systems, mirrored, with t, two-sided p and Bonferroni's correction."""
+def _tested(spark, d) -> DataFrame:
+    """(system_a, system_b, n, mean, t, p) of the paired t-test on NDCG."""
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([t_p_value(a, int(b)) for a, b in zip(t, n)], dtype=float)
 
-    half = _ttest(spark, d).withColumn("p", p_value("t", "n"))
+    x = differences(per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]), "ndcg_10")
+    t = F.coalesce(F.try_divide(F.avg("x"), F.stddev_samp("x") / F.sqrt(F.count(F.lit(1)))), F.lit(0.0))
+    return x.groupBy("system_a", "system_b").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), t.alias("t")).withColumn("p", p_value("t", "n"))
+
+
+#: The two-sided p-value of Student's t for whole degrees of freedom as a finite series.
+_P_VALUE = """, t AS (SELECT system_a, system_b, count(*) AS n, avg(x) AS mean, coalesce(avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0), 0) AS t FROM d GROUP BY 1, 2),
+k AS (SELECT *, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS th FROM t WHERE n >= 2), z AS (SELECT system_a, system_b, CASE WHEN v % 2 = 1
+  THEN 2 / pi() * (any_value(th) + sum(CASE WHEN 2 * j + 3 <= v THEN sin(th) * cos(th) ** (2 * j + 1) * sqrt(pi()) * exp(lgamma(j + 1) - lgamma(j + 1.5)) / 2 ELSE 0 END))
+  ELSE sum(CASE WHEN 2 * j + 2 <= v THEN sin(th) * cos(th) ** (2 * j) * exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) ELSE 0 END) END AS a
+  FROM k, range(0, (SELECT coalesce(max(n), 0) FROM t)) r(j) GROUP BY system_a, system_b, v), h AS (SELECT t.*, CASE WHEN n < 2 THEN 1 ELSE greatest(0, 1 - a) END AS p FROM t LEFT JOIN z USING (system_a, system_b))"""
+
+
+@CAT.query("st_sig_matrix", _DIFF + _P_VALUE + ", m AS (SELECT *, round(least(p * count(*) OVER (), 1), 6) AS p_corrected FROM h) SELECT system_a, system_b, n, round(mean, 6) AS mean, round(t, 5) AS t, round(p, 6) AS p, p_corrected FROM m UNION ALL SELECT system_b, system_a, n, -round(mean, 6), -round(t, 5), round(p, 6), p_corrected FROM m")
+def _matrix(spark, d):
+    """All pairs of systems, mirrored, with t, two-sided p and Bonferroni's correction."""
+
+    half = _tested(spark, d).select("system_a", "system_b", "n", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"), "p")
     both = half.unionByName(half.select(F.col("system_b").alias("system_a"), F.col("system_a").alias("system_b"), "n", (-F.col("mean")).alias("mean"), (-F.col("t")).alias("t"), "p"))
     pairs = half.agg(F.count(F.lit(1)).alias("m"))
-    return both.crossJoin(F.broadcast(pairs)).select("system_a", "system_b", "n", "mean", "t", F.round("p", 9).alias("p"), F.round(F.least(F.col("p") * F.col("m"), F.lit(1.0)), 9).alias("p_corrected"))
+    return both.crossJoin(F.broadcast(pairs)).select("system_a", "system_b", "n", "mean", "t", F.round("p", 6).alias("p"), F.round(F.least(F.col("p") * F.col("m"), F.lit(1.0)), 6).alias("p_corrected"))
 
 
-@CAT.query("st_bonferroni", _DIFF + ", t AS (SELECT system_a, system_b, least(1.0, abs(avg(x))) AS p FROM d GROUP BY 1, 2) SELECT system_a, system_b, round(p, 6) AS p, round(least(p * count(*) OVER (), 1.0), 6) AS corrected FROM t")
+@CAT.query("st_bonferroni", _DIFF + _P_VALUE + " SELECT system_a, system_b, round(p, 6) AS p, round(least(p * count(*) OVER (), 1.0), 6) AS corrected FROM h")
 def _bonferroni(spark, d):
-    x = differences(per_query(rel(spark, d, "scored"), rel(spark, d, "qrels"), [10]), "ndcg_10")
-    t = x.groupBy("system_a", "system_b").agg(F.least(F.lit(1.0), F.abs(F.avg("x"))).alias("p"))
+    """p-values of the paired t-tests, times their number, at most 1."""
+    t = _tested(spark, d)
     return t.crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("m")))).select("system_a", "system_b", F.round("p", 6).alias("p"), F.round(F.least(F.col("p") * F.col("m"), F.lit(1.0)), 6).alias("corrected"))
 
 
