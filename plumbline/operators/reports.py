@@ -108,17 +108,6 @@ def _sheet(spark, d):
     return top.groupBy("query_id").agg(*(x for k in range(1, 6) for x in (at(k, "doc_id").alias(f"doc_{k}"), at(k, "relevance").alias(f"grade_{k}"))))
 
 
-@CAT.query("snk_beir_validate", "SELECT doc_type, count(*) AS n, count(*) FILTER (WHERE _id IS NULL OR _id = '') AS n_without_id, count(*) FILTER (WHERE text IS NULL OR text = '') AS n_without_text, count(*) - count(DISTINCT _id) AS n_repeated FROM corpus GROUP BY 1")
-def _check(spark, d):
-    empty = lambda c: F.count_if(F.col(c).isNull() | (F.col(c) == ""))
-    return table(spark, d, "corpus").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"), empty("_id").alias("n_without_id"), empty("text").alias("n_without_text"), (F.count(F.lit(1)) - F.count_distinct("_id")).alias("n_repeated"))
-
-
-@CAT.query("snk_metadata", "SELECT count(*) AS n_rows, count(DISTINCT paper_id) AS n_papers, count(DISTINCT journal) AS n_journals, min(publication_date) AS first_day, max(publication_date) AS last_day, count(abstract) AS n_abstracts FROM papers")
-def _metadata(spark, d):
-    return table(spark, d, "papers").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("paper_id").alias("n_papers"), F.count_distinct("journal").alias("n_journals"), F.min("publication_date").alias("first_day"), F.max("publication_date").alias("last_day"), F.count("abstract").alias("n_abstracts"))
-
-
 @CAT.query("rep_audit", "SELECT coalesce(provider, '') || ':' || coalesce(model, '') AS endpoint, count(*) AS n_calls, strftime(min(judged_at), '%Y-%m-%d %H:%M:%S') AS first_call, strftime(max(judged_at), '%Y-%m-%d %H:%M:%S') AS last_call FROM relevance_judgments GROUP BY 1")
 def _audit(spark, d):
     """Calls by service and endpoint, and their span."""

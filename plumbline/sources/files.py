@@ -94,3 +94,25 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, sha256) of the files below a folder, computed where they are read."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return b.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verified(spark: SparkSession, path: str, manifest: str) -> DataFrame:
+    """(file, state) of the files in a manifest of :func:`checksums` and below the folder: ok, changed, missing or new."""
+    old = spark.read.schema("file string, bytes bigint, sha256 string").json(manifest).select("file", F.col("sha256").alias("was"))
+    j = old.join(checksums(spark, path).select("file", F.col("sha256").alias("now")), "file", "full")
+    return j.select("file", F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "missing").when(F.col("was") == F.col("now"), "ok").otherwise("changed").alias("state"))
+
+
+def read_benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(corpus, queries, qrels) of a folder; the judgments of all splits together."""
+    return read_corpus(spark, f"{path}/corpus"), read_queries(spark, f"{path}/queries"), read_qrels(spark, f"{path}/qrels")
+
+
+def kept_step(spark: SparkSession, path: str, name: str, step) -> DataFrame:
+    """The result of a step as JSON lines with its schema, made once: a finished folder is read instead."""
+    target = f"{path}/{name}"
+    sc = spark.sparkContext
+    done = sc._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if not done.getFileSystem(sc._jsc.hadoopConfiguration()).exists(done):
+        step().write.mode("overwrite").json(target)
+    return spark.read.schema(step().schema).json(target)
