@@ -8,11 +8,15 @@ The operator keeps keyed state and takes one batch of changes at a time:
 * counts of waiting references are snapshot at the end of each period.
 
 State is three tables, never a blob per key, so that a key holding a third of
-all references is rows of a table like any other:
+all references is rows of a table like any other, and it is only appended to:
 
-``live``    (target, key, n)            parents live at the end of the batch
+``live``    (target, key, n)            changes of the number of live parents; a key's sum counts
 ``later``   (target, key, at, delta)    changes already announced for a later time
-``refs``    (ref_table, row_id, target, key, at, orphan, waiting)
+``refs``    (ref_table, row_id, target, key, at, orphan)   the references seen
+
+Whether a reference waits follows from its key's sum, so a batch rewrites no
+reference and writes a row for the keys it touches alone; the references of
+keys whose liveness turned are looked up, not scanned into a new state.
 
 Within a batch, liveness is a running sum of +1 (arrival) and -1 (deletion)
 per key. A hot key isn't put into one window: the sum runs inside (key, day)
@@ -28,6 +32,7 @@ further columns of the inputs are ignored whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -42,6 +47,23 @@ REFS = "ref_table string, row_id bigint, target string, key string, at timestamp
 SALTS = 16
 
 
+@dataclass
+class Increment:
+    """What one batch adds: its changes per key and moment, announcements still open, and its references with their flag."""
+
+    now: DataFrame
+    later: DataFrame
+    found: DataFrame
+
+    @property
+    def touched(self) -> DataFrame:
+        return self.now.groupBy("target", "key").agg(F.sum("delta").alias("delta"))
+
+    def kept(self, tag: str = "orphans") -> "Increment":
+        """The increment written to the shared folder: the next batch then starts from tables."""
+        return Increment(*(materialize(d, f"{tag}-{n}") for n, d in (("now", self.now), ("later", self.later), ("refs", self.found))))
+
+
 @dataclass
 class OrphanState:
     live: DataFrame
@@ -53,12 +75,24 @@ class OrphanState:
         return OrphanState(
             spark.createDataFrame([], "target string, key string, n bigint"),
             spark.createDataFrame([], "target string, key string, at timestamp, delta bigint"),
-            spark.createDataFrame([], REFS + ", orphan boolean, waiting boolean"),
+            spark.createDataFrame([], REFS + ", orphan boolean"),
         )
 
-    def kept(self, tag: str = "orphans") -> "OrphanState":
-        """The state written to the shared folder: the next batch then starts from tables."""
-        return OrphanState(*(materialize(d, f"{tag}-{n}") for n, d in (("live", self.live), ("later", self.later), ("refs", self.refs))))
+    def plus(self, more: Increment) -> "OrphanState":
+        return OrphanState(self.live.unionByName(more.touched.select("target", "key", F.col("delta").alias("n"))), more.later, self.refs.unionByName(more.found))
+
+    def compacted(self, tag: str = "orphans") -> "OrphanState":
+        """One row per key instead of one per batch and key; once in many batches."""
+        return OrphanState(materialize(_counts(self.live).where("n <> 0"), f"{tag}-live"), self.later, self.refs)
+
+    def waiting(self) -> DataFrame:
+        """The references whose target isn't live now."""
+        live = _counts(self.live).where("n > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return _salted(self.refs, F.col("row_id")).join(live, ["target", "key", "salt"], "left_anti").drop("salt")
+
+
+def _counts(live: DataFrame) -> DataFrame:
+    return live.groupBy("target", "key").agg(F.sum("n").alias("n"))
 
 
 def references(df: DataFrame, ref_table: str, row_id: str, ref: str, at: str, target: str) -> DataFrame:
@@ -108,53 +142,83 @@ def _salted(df: DataFrame, by: Column) -> DataFrame:
     return df.withColumn("salt", F.pmod(F.hash(by), F.lit(SALTS)))
 
 
-def advance(state: OrphanState, new_refs: DataFrame, new_parents: DataFrame, upto: datetime | None = None) -> tuple[OrphanState, DataFrame, DataFrame]:
-    """One increment. Returns the next state, the batch's references with their
-    ``orphan`` flag, and the older references whose ``waiting`` flag changed
-    (false: resolved by an arrival; true: reopened by a deletion).
+def advance(state: OrphanState, new_refs: DataFrame, new_parents: DataFrame, before: datetime | None = None) -> tuple[Increment, DataFrame]:
+    """One batch. Returns what it adds to the state (``state.plus``), with the batch's references and
+    their ``orphan`` flag, and the older references that it resolves (``waiting`` false: a parent
+    arrived) or reopens (true: the last one was deleted).
 
-    A reference must come in the batch that covers its time; changes of parents
-    that lie after ``upto`` wait in the state. ``upto`` None takes everything.
+    A reference must come in the batch that covers its time; changes of parents that lie at or after
+    ``before`` wait in the state. None takes everything.
     """
     every = state.later.unionByName(changes(new_parents)).groupBy("target", "key", "at").agg(F.sum("delta").alias("delta"))
-    now = every if upto is None else every.where(F.col("at") <= F.lit(upto))
-    later = every.limit(0) if upto is None else every.where(F.col("at") > F.lit(upto))
-    found = probe(new_refs, now, state.live)
+    now = every if before is None else every.where(F.col("at") < F.lit(before))
+    later = every.limit(0) if before is None else every.where(F.col("at") >= F.lit(before))
     touched = now.groupBy("target", "key").agg(F.sum("delta").alias("delta"))
-    live = (
-        state.live.withColumn("delta", F.lit(0).cast("bigint"))
-        .unionByName(touched.withColumn("n", F.lit(0).cast("bigint")))
-        .groupBy("target", "key")
-        .agg(F.sum(F.col("n") + F.col("delta")).alias("n"))
-    )
-    spread = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    old = state.refs.unionByName(found.withColumn("waiting", F.lit(None).cast("boolean")))
-    joined = _salted(old, F.col("row_id")).join(spread, ["target", "key", "salt"], "left")
-    refs = joined.select("ref_table", "row_id", "target", "key", "at", "orphan", (F.coalesce("n", F.lit(0)) <= 0).alias("is_waiting"), F.col("waiting").alias("was"))
-    changed = refs.where("was is not null and was <> is_waiting").select("ref_table", "row_id", "target", "key", F.col("is_waiting").alias("waiting"))
-    nxt = OrphanState(live.where("n > 0"), later, refs.select("ref_table", "row_id", "target", "key", "at", "orphan", F.col("is_waiting").alias("waiting")))
-    return nxt, found, changed
-
-
-def snapshots(refs: DataFrame, deltas: DataFrame, period: str = "month") -> DataFrame:
-    """References waiting at the end of each period, per referring table.
+    keys = touched.select("target", "key").union(new_refs.select("target", "key")).distinct()
+    live = _counts(state.live.join(keys, ["target", "key"], "left_semi"))  # of the batch's keys alone
+    found = probe(new_refs, now, live)
+    n, after = F.coalesce("n", F.lit(0)), F.coalesce("n", F.lit(0)) + F.col("delta")
+    turned = touched.join(live, ["target", "key"], "left").where((n <= 0) != (after <= 0)).select("target", "key", (after <= 0).alias("waiting"))
+    spread = turned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    moved = _salted(state.refs, F.col("row_id")).join(spread, ["target", "key", "salt"]).select("ref_table", "row_id", "target", "key", "waiting")
+    return Increment(now, later, found), moved
+
+
+def batches(refs: DataFrame, lifetimes: DataFrame, unit: str = "year") -> Iterator[tuple[OrphanState, Increment, DataFrame, datetime]]:
+    """Runs the operator over periods: (state before, increment, references moved, end of the period) of
+    each period in which anything happens, in order. Inputs are cut by period once, so a batch reads its own part."""
+    spark = refs.sparkSession
+    start = lambda c: F.date_trunc(unit, c)
+    r = materialize(refs.withColumn("_period", F.date_format(start("at"), "yyyy-MM-dd")), "references", "_period")
+    p = materialize(lifetimes.withColumn("_period", F.date_format(start("live_from"), "yyyy-MM-dd")), "lifetimes", "_period")
+    ends = p.where("live_until is not null").select(F.date_format(start("live_until"), "yyyy-MM-dd").alias("_period"))
+    periods = sorted(x[0] for x in r.select("_period").union(p.select("_period")).union(ends).distinct().collect())  # one row per period
+    state = OrphanState.empty(spark)
+    step = {"year": "1 year", "quarter": "3 months", "month": "1 month"}[unit]
+    for k in periods:
+        end = spark.range(1).select((F.lit(k).cast("timestamp") + F.expr(f"interval {step}")).alias("t")).first()[0]
+        more, moved = advance(state, r.where(F.col("_period") == k).drop("_period"), p.where(F.col("_period") == k).drop("_period"), end)
+        more = more.kept()
+        yield state, more, moved, end
+        state = state.plus(more)
+
+
+def waiting_counts(state: OrphanState, more: Increment, now: DataFrame, period: str = "month") -> DataFrame:
+    """(ref_table, period, step): by how much the number of waiting references changes in each period of a
+    batch. Keys that the batch doesn't touch can't change; the others start from the state."""
+    keys = now.select("target", "key").union(more.found.select("target", "key")).distinct()
+    live = _counts(state.live.join(keys, ["target", "key"], "left_semi")).select("target", "key", F.col("n").alias("delta"))
+    held = state.refs.join(keys, ["target", "key"], "left_semi").groupBy("target", "key", "ref_table").agg(F.count(F.lit(1)).alias("n"))
+    return steps(more.found, now, period, held, live)
+
+
+def steps(refs: DataFrame, deltas: DataFrame, period: str, held: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """(ref_table, period, step): changes of the number of waiting references per period. ``held``
+    (target, key, ref_table, n) and ``live`` (target, key, delta) are what the keys begin with.
 
     Each key contributes a row per period in which anything happened to it; its
     waiting count is carried on as a difference, so no key is filled up over
-    quiet periods. (ref_table, period, waiting)
+    quiet periods.
     """
-    unit = F.date_trunc(period, "at").alias("period")
-    kinds = refs.select("target", "ref_table").distinct()
-    moves = (
-        refs.select("target", "key", "ref_table", unit, F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("delta"))
-        .unionByName(deltas.join(F.broadcast(kinds), "target").select("target", "key", "ref_table", unit, F.lit(0).cast("bigint").alias("n"), "delta"))
-        .groupBy("target", "ref_table", "key", "period")
-        .agg(F.sum("n").alias("n"), F.sum("delta").alias("delta"))
+    unit, zero = F.date_trunc(period, "at").alias("period"), F.lit(0).cast("bigint")
+    first = F.lit(datetime(1, 1, 1)).cast("timestamp").alias("period")
+    kinds = refs.select("target", "ref_table")
+    kinds = (kinds if held is None else kinds.union(held.select("target", "ref_table"))).distinct()
+    moves = refs.select("target", "key", "ref_table", unit, F.lit(1).cast("bigint").alias("n"), zero.alias("delta")).unionByName(
+        deltas.join(F.broadcast(kinds), "target").select("target", "key", "ref_table", unit, zero.alias("n"), "delta")  # a row per pair of tables
     )
+    if held is not None:
+        moves = moves.unionByName(held.select("target", "key", "ref_table", first, "n", zero.alias("delta")))
+        moves = moves.unionByName(live.join(F.broadcast(kinds), "target").select("target", "key", "ref_table", first, zero.alias("n"), "delta"))
+    moves = moves.groupBy("target", "ref_table", "key", "period").agg(F.sum("n").alias("n"), F.sum("delta").alias("delta"))
     key = Window.partitionBy("target", "ref_table", "key").orderBy("period")
     run = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     open_now = F.when(F.sum("delta").over(run) <= 0, F.sum("n").over(run)).otherwise(F.lit(0))
-    steps = moves.withColumn("open", open_now).withColumn("step", F.col("open") - F.coalesce(F.lag("open").over(key), F.lit(0)))
-    per = steps.groupBy("ref_table", "period").agg(F.sum("step").alias("step"))
+    step = moves.withColumn("open", open_now).withColumn("step", F.col("open") - F.coalesce(F.lag("open").over(key), F.lit(0)))
+    return step.where(F.col("period") != first).groupBy("ref_table", "period").agg(F.sum("step").alias("step"))
+
+
+def running(step: DataFrame) -> DataFrame:
+    """(ref_table, period, waiting) of the steps: a row per table and period reaches the window."""
     total = Window.partitionBy("ref_table").orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select("ref_table", "period", F.sum("step").over(total).alias("waiting"))
+    return step.select("ref_table", "period", F.sum("step").over(total).alias("waiting"))

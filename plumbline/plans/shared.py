@@ -30,15 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` once into the shared folder and reads it back."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` once into the shared folder, in folders by a column if asked, and reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     # the plan is run once and never again, so its shuffle files can go at its end
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)

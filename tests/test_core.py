@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import Row
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from plumbline.functions import citations, dates, ids
 from plumbline.functions.text import clean_id, words
-from plumbline.operators import orphans, ranking, stats
+from plumbline.operators import analyses, orphan_queries, orphans, ranking, retrieval, stats
 from plumbline.operators.metrics import per_query
 from plumbline.plans.shared import discard, materialize
 from plumbline.plans.sizing import maybe_broadcast, small
@@ -78,8 +78,8 @@ def orphan_case(spark):
 
 def test_orphans_at_once(spark):
     refs, lives = orphan_case(spark)
-    _, found, _ = orphans.advance(orphans.OrphanState.empty(spark), refs, lives)
-    assert {r.row_id for r in found.where("orphan").collect()} == {0, 3, 5, 7, 8}
+    more, _ = orphans.advance(orphans.OrphanState.empty(spark), refs, lives)
+    assert {r.row_id for r in more.found.where("orphan").collect()} == {0, 3, 5, 7, 8}
 
 
 def test_orphans_in_increments(spark):
@@ -88,20 +88,39 @@ def test_orphans_in_increments(spark):
     for hi in (5, 9, 11, 31):
         batch = refs.where(f"day(at) > {lo} and day(at) <= {hi}")
         arrived = lives.where(f"day(live_from) > {lo} and day(live_from) <= {hi}")
-        state, found, changed = orphans.advance(state, batch, arrived, T(hi))
-        state = state.kept()
-        got |= {r.row_id for r in found.where("orphan").collect()}
-        moved += [(r.row_id, r.waiting) for r in changed.collect()]
-        lo = hi
+        more, turned = orphans.advance(state, batch, arrived, T(hi) + timedelta(days=1))
+        more = more.kept()
+        moved += [(hi, r.row_id, r.waiting) for r in turned.collect()]
+        got |= {r.row_id for r in more.found.where("orphan").collect()}
+        state, lo = state.plus(more), hi
+        assert {tuple(r) for r in state.compacted().waiting().collect()} == {tuple(r) for r in state.waiting().collect()}
     assert got == {0, 3, 5, 7, 8}
-    assert (0, False) in moved or state.refs.where("row_id = 0 and not waiting").count() == 1  # resolved by an arrival
-    assert {r.row_id for r in state.refs.where("waiting").collect()} == {5, 6, 7, 8}
+    # C dies on the 6th, A on the 10th and lives again from the 12th
+    assert sorted(moved) == [(9, 6, True), (11, 0, True), (11, 1, True), (11, 2, True), (31, 0, False), (31, 1, False), (31, 2, False), (31, 3, False)]
+    assert {r.row_id for r in state.waiting().collect()} == {5, 6, 7, 8}
+
+
+@pytest.mark.parametrize("unit", ["quarter", "year"])
+def test_orphans_do_not_depend_on_batches(spark, data, unit):
+    refs, held = orphan_queries._inputs(spark, data)
+    out, steps = None, None
+    for state, more, _, _ in orphans.batches(refs.where("year(at) >= 2025"), held.where("year(live_from) >= 2025"), unit):
+        out = more.found if out is None else out.unionByName(more.found)
+        step = orphans.waiting_counts(state, more, more.now)
+        steps = step if steps is None else steps.unionByName(step)
+    more, _ = orphans.advance(orphans.OrphanState.empty(spark), refs.where("year(at) >= 2025"), held.where("year(live_from) >= 2025"))
+    rows = lambda d: sorted(map(tuple, d.select("ref_table", "row_id", "key", "at", "orphan").collect()))
+    assert rows(out) == rows(more.found)
+    once = orphans.running(orphans.steps(more.found, more.now, "month"))
+    many = orphans.running(steps.groupBy("ref_table", "period").agg(F.sum("step").alias("step")))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, many.collect()))
 
 
 def test_orphans_of_nothing(spark):
     e = orphans.OrphanState.empty(spark)
-    _, found, changed = orphans.advance(e, spark.createDataFrame([], REFS), spark.createDataFrame([], LIVES))
-    assert found.count() == 0 and changed.count() == 0
+    more, turned = orphans.advance(e, spark.createDataFrame([], REFS), spark.createDataFrame([], LIVES))
+    assert more.found.count() == 0 and turned.count() == 0
+    assert list(orphans.batches(spark.createDataFrame([], REFS), spark.createDataFrame([], LIVES))) == []
 
 
 def test_split_covers_and_is_disjoint(spark):
@@ -207,7 +226,3 @@ def test_against_sql(spark, data, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_row_import():
-    assert Row(a=1).a == 1
