@@ -3,7 +3,8 @@
 Sizes are tokens of a public tokenizer. A container has three capacities: its
 tokens, a number of documents, and an attention cost (the sum of squared
 lengths, as each document attends to itself). A document longer than the
-container is cut into full pieces and a rest; others are never cut.
+container is cut into full pieces and a rest; others are never cut. A piece
+whose cost alone reaches the attention capacity has a container to itself.
 
 Full pieces fill a container each, without any shuffle. The rest is dealt by
 hash to shards of about ``SHARD_TOKENS`` tokens. Each shard is packed in
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
+from ..plans.sizing import maybe_broadcast
 from ..sources.tables import table
 
 #: Vocabulary file, a parameter; the file isn't part of this package.
@@ -43,6 +45,9 @@ REPACK = 0.98
 LEAST_AVERAGE = 16
 #: Weights of the token, document-count and attention dimensions.
 WEIGHTS = (1.0, 0.02, 0.05)
+#: Attention capacity as a share of the cost of one document that fills the container. Under 1 it
+#: can bind: a container that one long document nearly fills takes no others.
+ATTENTION = 0.97
 #: Texts are encoded in slices at blanks of about so many characters, which gives the same tokens.
 SLICE = 100_000
 
@@ -96,7 +101,7 @@ def pieces(counts: DataFrame, kinds: DataFrame) -> DataFrame:
     return cut.select("container_kind", "capacity", "doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity")).alias("tokens"))
 
 
-def pack(sizes: np.ndarray, capacity: int, score: str = "norm", weights: tuple = WEIGHTS, max_docs: int | None = None, attention: float = 1.0) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, score: str = "norm", weights: tuple = WEIGHTS, max_docs: int | None = None, attention: float = ATTENTION) -> np.ndarray:
     """Bin number of each piece, sizes in decreasing order and none above the capacity.
 
     Room is kept relative to each capacity. Containers that can't take even the
@@ -110,7 +115,7 @@ def pack(sizes: np.ndarray, capacity: int, score: str = "norm", weights: tuple =
     used = 0
     least = sizes[-1] / capacity if n else 0.0
     for i, s in enumerate(sizes):
-        v = np.array([s / capacity, 1 / docs, s * s / (attention * capacity * capacity)])
+        v = np.array([s / capacity, 1 / docs, min(1.0, s * s / (attention * capacity * capacity))])
         pick = -1
         if len(open_bins):
             r = room[open_bins]
@@ -126,15 +131,15 @@ def pack(sizes: np.ndarray, capacity: int, score: str = "norm", weights: tuple =
             open_bins = np.append(open_bins, pick)
         room[pick] -= v
         where[i] = pick
-        if room[pick, 0] < least - 1e-12 or room[pick, 1] < 1 / docs - 1e-12:
+        if room[pick, 0] < least - 1e-12 or room[pick, 1] < 1 / docs - 1e-12 or room[pick, 2] < least * least / attention - 1e-12:
             open_bins = open_bins[open_bins != pick]
     return where
 
 
-def _packed(score: str, label: str):
+def _packed(score: str, label: str, attention: float):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins = pack(p["tokens"].to_numpy(), int(p["capacity"].iloc[0]), score)
+        bins = pack(p["tokens"].to_numpy(), int(p["capacity"].iloc[0]), score, attention=attention)
         kind, shard = p["container_kind"].iloc[0], p["shard"].iloc[0]
         out = p[["container_kind", "capacity", "doc_id", "piece", "tokens"]].copy()
         out["container_id"] = [f"{kind}-{label}{shard}-{b}" for b in bins]
@@ -148,42 +153,58 @@ def _packed(score: str, label: str):
 _SCHEMA = "container_kind string, capacity bigint, doc_id bigint, piece int, tokens bigint, container_id string, filled double"
 
 
-def fill(items: DataFrame, score: str = "norm", tag: str = "packing") -> DataFrame:
+def fill(items: DataFrame, score: str = "norm", tag: str = "packing", attention: float = ATTENTION) -> DataFrame:
     """(container_kind, capacity, doc_id, piece, tokens, container_id) of pieces."""
     full = items.where("tokens = capacity").withColumn("container_id", F.concat_ws("-", "container_kind", F.lit("full"), "doc_id", "piece"))
     rest = items.where("tokens < capacity")
     totals = rest.groupBy("container_kind").agg(F.sum("tokens").alias("t")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("t") / SHARD_TOKENS)).cast("bigint")).select("container_kind", "shards")
-    dealt = rest.join(F.broadcast(totals), "container_kind").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")))
-    first = materialize(dealt.groupBy("container_kind", "shard").applyInPandas(_packed(score, "a"), _SCHEMA), tag)
-    loose = first.where(F.col("filled") < REPACK).join(F.broadcast(totals), "container_kind")
-    again = loose.withColumn("shard", F.pmod(F.xxhash64("piece", "doc_id"), F.ceil(F.col("shards") / SECOND_SHARDS))).groupBy("container_kind", "shard").applyInPandas(_packed(score, "b"), _SCHEMA)
+    totals = maybe_broadcast(materialize(totals, f"{tag}-shards"))  # a row per kind
+    dealt = rest.join(totals, "container_kind").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")))
+    first = materialize(dealt.groupBy("container_kind", "shard").applyInPandas(_packed(score, "a", attention), _SCHEMA), tag)
+    loose = first.where(F.col("filled") < REPACK).join(totals, "container_kind")
+    again = loose.withColumn("shard", F.pmod(F.xxhash64("piece", "doc_id"), F.ceil(F.col("shards") / SECOND_SHARDS))).groupBy("container_kind", "shard").applyInPandas(_packed(score, "b", attention), _SCHEMA)
     cols = ["container_kind", "capacity", "doc_id", "piece", "tokens", "container_id"]
     return full.select(*cols).unionByName(first.where(F.col("filled") >= REPACK).select(*cols)).unionByName(again.select(*cols))
 
 
-def _filled(spark: SparkSession, sf_dir: str, score: str) -> DataFrame:
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = materialize(token_counts(table(spark, sf_dir, "documents")), "token-counts")
-    return fill(pieces(counts, table(spark, sf_dir, "containers")), score)
+    return pieces(counts, table(spark, sf_dir, "containers"))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's container or, if it is longer than one, containers, per kind."""
-    return _filled(spark, sf_dir, "norm").select("container_kind", "container_id", "doc_id", "piece", "tokens")
+    return fill(_pieces(spark, sf_dir)).select("container_kind", "container_id", "doc_id", "piece", "tokens")
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind and scoring: containers used, the fewest possible by tokens, and the share of room filled."""
-    out = None
+    out, items = None, _pieces(spark, sf_dir)
     for score in ("norm", "dot"):
-        f = _filled(spark, sf_dir, score).groupBy("container_kind", "capacity").agg(F.count_distinct("container_id").alias("n_containers"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_pieces"))
+        f = fill(items, score).groupBy("container_kind", "capacity").agg(F.count_distinct("container_id").alias("n_containers"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_pieces"))
         f = f.select(F.lit(score).alias("score"), "container_kind", "n_containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("fewest"), "n_pieces", F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity")), 6).alias("filled"))
         out = f if out is None else out.unionByName(f)
     return out
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind, what must hold: documents laid, containers over a capacity, pieces laid twice, documents
+    cut though they fit, documents not laid whole, and whether the containers are within a hundredth of the fewest possible."""
+    items = _pieces(spark, sf_dir)
+    f = materialize(fill(items), "packed")
+    k = F.col("capacity")
+    room = f.groupBy("container_kind", "capacity", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(F.col("tokens") * F.col("tokens")).alias("c"))
+    over = (F.col("t") > k) | (F.col("n") > F.greatest(F.lit(1), F.floor(k / LEAST_AVERAGE))) | ((F.col("n") > 1) & (F.col("c") > ATTENTION * k * k + 1e-6))
+    a = room.groupBy("container_kind", "capacity").agg(F.count_if(over).alias("n_over"), F.count(F.lit(1)).alias("bins"), F.sum("t").alias("t"))
+    docs = f.groupBy("container_kind", "capacity", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("d"), F.sum("tokens").alias("t"))
+    want = items.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("want"))
+    b = docs.join(want, ["container_kind", "doc_id"], "full").groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("d")).alias("n_twice"), F.count_if((F.col("n") > 1) & (F.col("want") <= k)).alias("n_cut"), F.count_if(~F.col("t").eqNullSafe(F.col("want"))).alias("n_lost"), F.count(F.lit(1)).alias("n_documents"))
+    return a.join(b, "container_kind").select("container_kind", "n_documents", "n_over", "n_twice", "n_cut", "n_lost", (F.col("bins") <= F.ceil(F.col("t") / k) * 1.01 + 3).alias("tight"))
+
+
 def queries():
-    return {"p8_containers": p8_containers, "p8_fill": p8_fill}
+    return {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_invariants": p8_invariants}
 
 
 def oracle_sql():
-    return {}
+    return {"p8_invariants": "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_over, 0::BIGINT AS n_twice, 0::BIGINT AS n_cut, 0::BIGINT AS n_lost, true AS tight FROM containers"}
