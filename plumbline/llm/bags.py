@@ -8,50 +8,70 @@ larger bag. Texts with the same bag form one class and are compared once.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import materialize
 
-#: Maximal runs of letters or digits.
-WORD = re.compile(r"[^\W_]+")
-#: Hashes of words that a task keeps; the memo is emptied beyond that.
-MEMO = 500_000
-
-
-def elements(words: list[str], memo: dict) -> np.ndarray:
-    """Sorted distinct hashes of (word, occurrence)."""
-    seen: dict[str, int] = {}
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        n = seen.get(w, 0)
-        seen[w] = n + 1
-        k = (w, n)
-        h = memo.get(k)
-        if h is None:
-            if len(memo) > MEMO:
-                memo.clear()
-            h = memo[k] = xxhash.xxh64_intdigest(w, seed=n)
-        out[i] = h
-    return np.unique(out)
+#: Texts of a batch are worked on together up to this many characters; one longer text by itself.
+CHUNK = 4 << 20
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _M1
+        x = (x ^ (x >> np.uint64(27))) * _M2
+        return x ^ (x >> np.uint64(31))
+
+
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values): per text the sorted hashes of its (word, occurrence) pairs. Words are the
+    maximal runs of letters or digits of the lower-cased text; all texts are worked on as columns."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), r"[^\pL\pN]+", " ")
+    lists = pc.split_pattern(pc.utf8_trim(plain, " "), " ")
+    owner = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
+    words = pc.list_flatten(lists)
+    some = np.asarray(pc.binary_length(words)) > 0  # a text without words is one empty string
+    d = pc.dictionary_encode(words.filter(pa.array(some)))
+    owner, code = owner[some], np.asarray(d.indices).astype(np.int64)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in d.dictionary.to_pylist()], dtype=np.uint64)
+    order = np.lexsort((code, owner))
+    owner, code = owner[order], code[order]
+    first = np.r_[True, (np.diff(owner) != 0) | (np.diff(code) != 0)] if len(code) else np.empty(0, bool)
+    nth = np.arange(len(code)) - np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))
+    with np.errstate(over="ignore"):
+        values = mix(hashes[code] + nth.astype(np.uint64) * _GOLD) if len(code) else np.empty(0, np.uint64)
+    values = values[np.lexsort((values, owner))]
+    return np.searchsorted(owner, np.arange(len(texts) + 1)), values
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > CHUNK:
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict = {}
     for b in batches:
         keys, texts = b.column(0), b.column(1).to_pylist()
-        for lo in range(0, len(texts), 2000):
-            sets = [elements(WORD.findall(t.lower()), memo) for t in texts[lo : lo + 2000]]
-            prints = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([keys.slice(lo, len(sets)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "fp", "bag"])
+        for lo, hi in _chunks(texts):
+            offsets, values = elements(texts[lo:hi])
+            prints = [xxhash.xxh128_digest(values[i:j].tobytes()) for i, j in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))], names=["key", "fp", "bag"])
 
 
 def bags(df: DataFrame, key: Column, text: Column) -> DataFrame:

@@ -10,9 +10,11 @@
    bucket gives a star: edges from its least member to the others, so edges
    are at most as many as bucket entries, never their square. Buckets have no
    size limit.
-4. Star edges are verified at the loose threshold ``LOOSE``. Two texts that
-   met in a bucket then both hang on its centre, so pairs are completed among
-   the verified neighbours of one centre. Neighbourhoods are joined in
+4. Star edges are verified at the loose threshold ``LOOSE``, above which no
+   unrelated texts of one vocabulary lie. Two texts that met in a bucket then
+   both hang on its centre, so pairs are completed among the verified
+   neighbours of one centre. (If the centre is a stranger to them, another of
+   the nine and more buckets in which such a pair meets has to serve.) Neighbourhoods are joined in
    blocks of ``BLOCK`` members, so a centre with a third of all texts is many
    tasks, and each pair is verified exactly.
 
@@ -36,25 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import discard, materialize
+from ..plans.sizing import maybe_broadcast
 from ..sources.tables import table
 from . import bags as B
+from .bags import _GOLD, _M1, _M2, mix
 from .components import components
 
 BANDS, ROWS = 160, 7
-THRESHOLD, LOOSE = 0.8, 0.5
+THRESHOLD, LOOSE = 0.8, 0.4
 BLOCK = 256
-
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
-
+#: Sketches that are made together.
+GROUP = 256
 
 def probes(bins: int, rounds: int) -> np.ndarray:
     """Densification: for each bin the sequence of bins it asks, the same for all texts."""
@@ -63,57 +57,64 @@ def probes(bins: int, rounds: int) -> np.ndarray:
     return (mix(i) % np.uint64(bins)).astype(np.int64)
 
 
-def one_permutation(bag: np.ndarray, bins: int, steps: np.ndarray) -> np.ndarray:
-    """Densified one-permutation sketch of a non-empty set of 64-bit hashes."""
-    h = mix(bag + _GOLD)
-    order = np.argsort(h)
-    h = h[order]
-    at = (mix(bag[order] ^ _M1) % np.uint64(bins)).astype(np.int64)
-    sketch = np.zeros(bins, dtype=np.uint64)
-    full = np.zeros(bins, dtype=bool)
-    sketch[at[::-1]] = h[::-1]  # the least hash is written last
-    full[at] = True
-    empty = np.flatnonzero(~full)
-    out = sketch
-    if len(empty):
-        out = sketch.copy()
-        for r in range(0, steps.shape[1], 16):
-            ask = steps[empty, r : r + 16]
-            hit = full[ask]
-            first = hit.argmax(axis=1)
-            got = hit.any(axis=1)
-            out[empty[got]] = sketch[ask[got, first[got]]] + (first[got] + (r + 1)).astype(np.uint64) * _GOLD
-            empty = empty[~got]
-            if not len(empty):
-                break
-        if len(empty):  # after all rounds: the nearest full bin to the right
-            where = np.flatnonzero(full)
-            near = where[np.searchsorted(where, empty) % len(where)]
-            out[empty] = sketch[near]
-    return out
+def one_permutation(values: np.ndarray, offsets: np.ndarray, bins: int, steps: np.ndarray) -> np.ndarray:
+    """Densified one-permutation sketches, a row of ``bins`` per non-empty set; set i holds the 64-bit
+    hashes ``values[offsets[i]:offsets[i + 1]]``. All sets are densified together, round by round."""
+    n = len(offsets) - 1
+    values = values[offsets[0] : offsets[-1]]
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    h = mix(values + _GOLD)
+    cell = row * bins + (mix(values ^ _M1) % np.uint64(bins)).astype(np.int64)
+    order = np.lexsort((h, cell))
+    first = order[np.r_[True, np.diff(cell[order]) != 0]] if len(order) else order
+    full = np.zeros(n * bins, dtype=bool)
+    sketch = np.zeros(n * bins, dtype=np.uint64)
+    full[cell[first]] = True
+    sketch[cell[first]] = h[first]
+    out = sketch.copy()
+    at = np.flatnonzero(~full).astype(np.int32)
+    which, base = at % bins, at - at % bins
+    with np.errstate(over="ignore"):
+        shifts = np.arange(1, steps.shape[1] + 1, dtype=np.uint64) * _GOLD
+    for r in range(steps.shape[1]):
+        if not len(at):
+            return out.reshape(n, bins)
+        source = base + steps[:, r].astype(np.int32)[which]
+        hit = full[source]
+        out[at[hit]] = sketch[source[hit]] + shifts[r]
+        miss = ~hit
+        at, which, base = at[miss], which[miss], base[miss]
+    for i in at:  # after all rounds: the nearest full bin to the right
+        where = np.flatnonzero(full[i - i % bins : i - i % bins + bins])
+        out[i] = sketch[i - i % bins + where[np.searchsorted(where, i % bins) % len(where)]]
+    return out.reshape(n, bins)
 
 
 def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of it."""
+    """A 64-bit key per band of each sketch; the band's number is part of it."""
     with np.errstate(over="ignore"):
         key = np.arange(1, bands + 1, dtype=np.uint64) * _GOLD
         for r in range(rows):
-            key = mix(key * _M1 + sketch[r::rows][:bands])
+            key = mix(key * _M1 + sketch[..., r::rows][..., :bands])
     return key
 
 
+def keyed(uids: pa.Array, keys: np.ndarray) -> pa.RecordBatch:
+    n, bands = keys.shape
+    return pa.RecordBatch.from_arrays([uids, pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))], names=["uid", "keys"])
+
+
 def _signed(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = bands * rows
         steps = probes(bins, 96)
         for b in batches:
-            uids, sets = b.column(0), b.column(1)
+            sets = b.column(1)
             values, offsets = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
-            for lo in range(0, b.num_rows, 1000):
-                n = min(1000, b.num_rows - lo)
-                with np.errstate(over="ignore"):
-                    keys = np.concatenate([band_keys(one_permutation(values[offsets[i] : offsets[i + 1]], bins, steps), bands, rows) for i in range(lo, lo + n)])
-                yield pa.RecordBatch.from_arrays([uids.slice(lo, n), pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64)))], names=["uid", "keys"])
+            with np.errstate(over="ignore"):
+                for lo in range(0, b.num_rows, GROUP):
+                    hi = min(b.num_rows, lo + GROUP)
+                    yield keyed(b.column(0).slice(lo, hi - lo), band_keys(one_permutation(values, offsets[lo : hi + 1], bins, steps), bands, rows))
 
     return run
 
@@ -123,29 +124,37 @@ def banded(cls: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return cls.select("uid", "bag").mapInArrow(_signed(bands, rows), "uid bigint, keys array<bigint>")
 
 
-def star_edges(signed: DataFrame) -> DataFrame:
+def star_edges(signed: DataFrame, wanted: str = "true", tag: str = "stars") -> DataFrame:
     """Distinct edges (a, b) from the least member of each bucket to its others.
-    The bucket's centre comes from a pre-aggregated minimum, so no bucket is
-    gathered; the entries are then joined to it."""
-    entries = signed.select("uid", F.explode("keys").alias("key"))
-    centres = entries.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("last")).where("a < last").select("key", "a")
-    return entries.join(centres, "key").where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
-
 
-def completed(stars: DataFrame) -> DataFrame:
-    """Candidate pairs among the neighbours of one centre, block by block."""
+    ``signed``: (uid, keys, side), ``side`` a small set of bits; ``wanted`` is a condition on ``sides``, the
+    bits of all members. One pre-aggregated pass gives each bucket's least and greatest member and its
+    size: buckets of one are nothing, buckets of two are their edge, and only the larger ones, which
+    are few, are joined with the entries again. No bucket is gathered."""
+    entries = signed.select(F.explode("keys").alias("key"), "uid", "side")
+    one = entries.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.count(F.lit(1)).alias("n"), F.bit_or("side").alias("sides"))
+    one = materialize(one.where("a < b").where(wanted).select("key", "a", "b", "n"), f"{tag}-buckets")
+    large = maybe_broadcast(one.where("n > 2").select("key", "a"))
+    more = entries.select("key", F.col("uid").alias("b")).join(large, "key").where("a <> b").select("a", "b")
+    return one.where("n = 2").select("a", "b").unionByName(more).distinct()
+
+
+def completed(stars: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs among the neighbours of one centre, block by block. ``sides`` (uid, side): pairs
+    of members whose bits together aren't 3 are left out before they are made."""
     size = stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = stars.select("a", "b").join(size, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    left = placed.select("a", F.col("b").alias("x"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    right = placed.select("a", F.col("b").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    pairs = left.join(right, ["a", "i", "j"]).where("x < y")
+    placed = placed.withColumn("side", F.lit(3)) if sides is None else placed.join(sides.select(F.col("uid").alias("b"), "side"), "b")
+    left = placed.select("a", F.col("b").alias("x"), F.col("side").alias("sx"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    right = placed.select("a", F.col("b").alias("y"), F.col("side").alias("sy"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    pairs = left.join(right, ["a", "i", "j"]).where("x < y and (sx | sy) = 3")
     return pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def near_pairs(cls: DataFrame, threshold: float = THRESHOLD, tag: str = "neardup") -> DataFrame:
     """(a, b, similarity), a < b: all pairs of classes at or above the threshold."""
-    signed = materialize(banded(cls), f"{tag}-bands")
-    stars = materialize(B.verified(star_edges(signed), cls, cls, min(LOOSE, threshold)), f"{tag}-stars")
+    signed = materialize(banded(cls).withColumn("side", F.lit(0)), f"{tag}-bands")
+    stars = materialize(B.verified(star_edges(signed, tag=tag), cls, cls, min(LOOSE, threshold)), f"{tag}-stars")
     discard(signed)
     direct = stars.where(F.col("similarity") >= threshold - 1e-9)
     rest = completed(stars).join(stars.select("a", "b"), ["a", "b"], "left_anti")

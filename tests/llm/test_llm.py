@@ -90,15 +90,42 @@ def test_near_pairs_against_brute_force(spark):
 def test_sketch_agrees_with_jaccard():
     steps = neardup.probes(1120, 96)
     a, b = np.arange(1, 101, dtype=np.uint64), np.arange(34, 134, dtype=np.uint64)
-    a, b = neardup.mix(a), neardup.mix(b)
-    same = np.mean(neardup.one_permutation(np.sort(a), 1120, steps) == neardup.one_permutation(np.sort(b), 1120, steps))
-    assert abs(same - 67 / 133) < 0.12
+    a, b = np.sort(neardup.mix(a)), np.sort(neardup.mix(b))
+    x, y, z = neardup.one_permutation(np.concatenate([a, b, a[:1]]), np.array([0, 100, 200, 201]), 1120, steps)
+    assert abs(np.mean(x == y) - 67 / 133) < 0.12
+    assert (neardup.one_permutation(b, np.array([0, 100]), 1120, steps)[0] == y).all()  # neighbours don't matter
+    assert (z != 0).all()  # a set of one element fills every bin
+
+
+def test_elements_count_repeats():
+    offsets, values = bags.elements(["a b a", "B, a-A", "", "x_y ß é1", "a b"])
+    sets = [set(values[i:j].tolist()) for i, j in zip(offsets, offsets[1:])]
+    assert [len(x) for x in sets] == [3, 3, 0, 4, 2] and sets[0] == sets[1] and len(sets[0] & sets[4]) == 2
 
 
 def test_blocks_complete_large_stars(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     stars = spark.range(1, 41).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
     assert neardup.completed(stars).count() == 40 * 39 // 2
+    sides = spark.range(0, 41).select(F.col("id").alias("uid"), F.when(F.col("id") <= 10, 1).otherwise(2).alias("side"))
+    assert neardup.completed(stars, sides).count() == 10 * 30
+
+
+def test_stars_need_the_wanted_sides(spark):
+    signed = spark.createDataFrame([(1, [7, 8], 1), (2, [7], 1), (3, [8, 9], 2), (4, [8], 1), (5, [9], 2)], "uid bigint, keys array<bigint>, side int")
+    assert {tuple(r) for r in neardup.star_edges(signed).collect()} == {(1, 2), (1, 3), (1, 4), (3, 5)}
+    assert {tuple(r) for r in neardup.star_edges(signed, "sides = 3").collect()} == {(1, 3), (1, 4)}
+
+
+def test_one_boilerplate_bucket(spark):
+    """Many copies with small edits in one bucket, in both splits."""
+    base = text(40, 5)
+    rows = [(f"{i}", " ".join(base[:39] + [VOCABULARY[i]])) for i in range(60)]
+    d = bags.bags(spark.createDataFrame(rows, "key string, text string"), F.col("key"), F.col("text"))
+    cls = bags.classes(d, "boiler")
+    sides = cls.select("uid", (F.col("uid") % 3 == 0).alias("train"), (F.col("uid") % 3 != 0).alias("held"))
+    n = {r.train: r["count"] for r in sides.groupBy("train").count().collect()}
+    assert crosssplit.cross_pairs(cls, sides).count() == n[True] * n[False]
 
 
 def test_components(spark):
@@ -276,10 +303,23 @@ def test_packing_is_whole_and_within_capacity(spark, score):
         assert g.tokens.sum() / g.capacity.sum() > 0.85
     n = got.groupby(["container_kind", "capacity", "container_id"]).size().reset_index(name="n")
     assert (n.n <= n.capacity // packing.LEAST_AVERAGE).all()
+    cost = got.assign(c=got.tokens.astype(float) ** 2).groupby(["capacity", "container_id"]).c.agg(["sum", "size"]).reset_index()
+    assert (cost["sum"][cost["size"] > 1] <= packing.ATTENTION * cost.capacity[cost["size"] > 1] ** 2 + 1e-6).all()
     cut = got[got.piece > 0]
     assert set(cut.doc_id) <= {r.doc_id for r in counts.where("tokens > 1024").collect()}
 
 
+def test_attention_capacity_binds():
+    sizes = np.array([90, 90, 60, 60, 10, 10, 10, 10])
+    loose = packing.pack(sizes, 100, attention=1.0)
+    tight = packing.pack(sizes, 100, attention=0.4)
+    assert loose.max() + 1 == 4 and len({tight[0], tight[1]}) == 2
+    for b in set(tight):
+        held = sizes[tight == b]
+        assert len(held) == 1 or (held**2).sum() <= 0.4 * 100**2 and held.sum() <= 100
+    assert {len(sizes[tight == tight[k]]) for k in (0, 1)} == {1}  # a piece of 90 costs more than 0.4 alone
+
+
 def test_token_slices(spark):
     pytest.importorskip("tiktoken")
     try:
