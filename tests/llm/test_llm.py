@@ -266,11 +266,25 @@ def test_matching_with_slips_in_author_and_journal(spark, folder):
 
 def test_title_bound_holds():
     r = random.Random(5)
-    for _ in range(3000):
-        x, y = (sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 5))}) for _ in range(2))
-        a, b = (matching._read_title(" ".join(f"{w} {r.randint(1, 900)}" for w in t)) for t in (x, y))
-        t, back, _ = matching.title_similarity(*a[:2], *b[:2])
-        assert t <= matching._at_most(a, b) + 1e-9 and back <= matching._at_most(b, a) + 1e-9
+    one = lambda: " ".join(f"{w} {r.randint(1, 900)}" for w in sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 5))}))
+    cts, pts = [one() for _ in range(300)], [one() for _ in range(200)]
+    a, b = np.array([r.randrange(300) for _ in range(3000)]), np.array([r.randrange(200) for _ in range(3000)])
+    most, back = matching.at_most(cts, pts, a, b)
+    for i, j, m, k in zip(a, b, most, back):
+        t, u, _ = matching.title_similarity(*matching._read_title(cts[i]), *matching._read_title(pts[j]))
+        assert t <= m + 1e-9 and u <= k + 1e-9
+
+
+def test_bound_of_log_odds():
+    """The columns bound every pair's log odds, whatever its authors."""
+    nan = float("nan")
+    for title in (None, (0.3, 0.5, 7.0), (0.95, 0.9, 1.0)):
+        for people in (0, 1, 3, 9):
+            for journal in (None, 0.0, 0.85):
+                for year in (None, 0, 1, 2, 9):
+                    top = matching.best_odds(np.array([title[0] if title else 0]), np.array([title[1] if title else 0]), np.array([title is not None]), np.array([people]), np.array([nan if journal is None else journal]), np.array([nan if year is None else year]))[0]
+                    for n in range(people + 1):
+                        assert matching.log_odds(title, (n, people, people) if people else None, journal, year) <= top + 1e-9
 
 
 def test_propagation_keeps_one_paper(spark):
@@ -279,6 +293,14 @@ def test_propagation_keeps_one_paper(spark):
     assert got[1, 1] > 0.8 and got[1, 2] < 0.2 and got[2, 2] > 0.8 and abs(got[3, 3] - 1 / (1 + np.e)) < 1e-6
 
 
+def test_strict_propagation(spark):
+    """With an infinite cost a patent cites a paper once; with the soft one a repeat only costs."""
+    pairs = spark.createDataFrame([(1, 1, "P", 6.0), (2, 1, "P", 5.0)], "c bigint, p bigint, patent string, s double")
+    soft = {r.c: r.confidence for r in matching.propagate(pairs).collect()}
+    strict = {r.c: r.confidence for r in matching.propagate(pairs, repeat=float("inf")).collect()}
+    assert soft[2] > 0.8 and strict[2] < 0.3 and strict[1] > 0.7 and strict[1] + strict[2] <= 1.01
+
+
 def test_matching_of_nothing(spark, folder):
     d = folder(papers=spark.createDataFrame([], PAPERS), parsed_citations=spark.createDataFrame([], CITED))
     assert matching.p1_found(spark, d).count() == 0
@@ -466,6 +488,33 @@ def test_quality_edges(spark):
     assert quality.prose_share(d.limit(0), w).count() == 0
 
 
+def test_assignment_is_optimal():
+    r = random.Random(4)
+    pool = ["maria", "mario", "m", "johan", "johann", "smith", "smyth", "s", "kelmor", "kelmer", "k"]
+    for _ in range(300):
+        x, y = ([r.choice(pool) for _ in range(r.randint(1, 4))] for _ in range(2))
+        best = 0.0
+        for p in itertools.permutations([*range(len(y)), *[None] * len(x)], len(x)):
+            got = sum(v - 0.001 * abs(i - j) for i, j in enumerate(p) if j is not None and (v := names.token_score(x[i], y[j], {}, {})) > 0)
+            best = max(best, got)
+        m = names.assign(x, y, {}, {})
+        assert abs(sum(v - 0.001 * abs(i - j) for i, j, v in m) - best) < 1e-9
+        assert len({i for i, *_ in m}) == len({j for _, j, _ in m}) == len(m)
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_names_in_blocks_of_any_size(spark, monkeypatch, rows):
+    """The groups are the same if every block is cut into salts of three, whose leaders don't shrink, as if it is one."""
+    monkeypatch.setattr(names, "SALT_ROWS", rows)
+    given = ["Albert", "Bernard", "Cornelia", "Dorothea", "Emilio", "Friedrich", "Gwendolyn", "Heloise"]
+    spell = lambda g: [f"{g} Zilbenbundin", f"Zilbenbundin, {g}", f"{g} Zilbenbunidn", f"{g.upper()} ZILBENBUNDIN"]
+    rows_ = spark.createDataFrame([(n, 1) for g in given for n in spell(g)], "name string, n bigint")
+    got = {}
+    for r in names.authors(rows_).collect():
+        got.setdefault(r.author, set()).add(r.name)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(spell(g)) for g in given)
+
+
 def test_sql(spark, data):
     from test_core import same
 
