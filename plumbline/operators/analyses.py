@@ -353,3 +353,22 @@ def _met_trimodal(spark, d):
 @CAT.query("an_agreement_grades", "WITH a AS (SELECT clean_id(statement_id) AS query_id, clean_id(doc_id) AS doc_id, min(agreement) AS agreement FROM consensus_labels WHERE agreement IS NOT NULL AND statement_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1, 2), " + withs("qrels")[5:] + " SELECT agreement, relevance, count(*) AS n FROM qrels JOIN a USING (query_id, doc_id) GROUP BY 1, 2")
 def _agreement_grades(spark, d):
     return rel(spark, d, "qrels").join(agreed(spark, d), ["query_id", "doc_id"]).groupBy("agreement", "relevance").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_lines(df: DataFrame, name: str, metrics: list[str], digits: int = 4) -> DataFrame:
+    """(position, line) of a small result as a Markdown table: the best value of each column in bold,
+    rows in order of their names. A row per system reaches the window."""
+    best = df.agg(*(F.max(F.round(m, digits)).alias(f"_{m}") for m in metrics))  # one row
+    text = lambda m: F.format_string(f"%.{digits}f", F.round(m, digits))
+    cell = lambda m: F.when(F.round(m, digits) == F.col(f"_{m}"), F.concat(F.lit("**"), text(m), F.lit("**"))).otherwise(text(m))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", name, *(cell(m) for m in metrics)), F.lit(" |"))
+    rows = df.crossJoin(F.broadcast(best)).select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(name)) + 1).alias("position"), line.alias("line"))
+    head = [(0, "| " + " | ".join([name, *metrics]) + " |"), (1, "|" + " --- |" * (len(metrics) + 1))]  # no row of data
+    return df.sparkSession.createDataFrame(head, "position int, line string").unionByName(rows)
+
+
+@CAT.query("rpt_format", _sql([10]) + ", m AS (SELECT system, round(avg(r_10), 4) AS r, round(avg(ndcg_10), 4) AS n FROM per GROUP BY 1), t AS (SELECT *, max(r) OVER () AS br, max(n) OVER () AS bn FROM m) SELECT 0 AS position, '| system | r_10 | ndcg_10 |' AS line UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT (row_number() OVER (ORDER BY system) + 1)::INT, '| ' || system || ' | ' || CASE WHEN r = br THEN printf('**%.4f**', r) ELSE printf('%.4f', r) END || ' | ' || CASE WHEN n = bn THEN printf('**%.4f**', n) ELSE printf('%.4f', n) END || ' |' FROM t")
+def _report(spark, d):
+    """Means per system as a table for a report."""
+    m = _per(spark, d).groupBy("system").agg(F.avg("r_10").alias("r_10"), F.avg("ndcg_10").alias("ndcg_10"))
+    return table_lines(m, "system", ["r_10", "ndcg_10"])

@@ -120,11 +120,24 @@ def _percentile(spark, d):
     return e.select("event_id", F.round(F.when(F.col("n") < 10, few).when(hi <= lo, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))), 6).alias("score"))
 
 
+def hash_ranked(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """``_r``, the rank in hash order within the group, and ``_n``, the group's rows. Rows are sorted within
+    a prefix of the hash only, 4,096 to a group, and ranks go on from the counts of the prefixes
+    before, so no group is sorted by one task. Nulls are a group."""
+    h = hash_order(key, seed)
+    p = df.withColumn("_p", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 3))
+    w = Window.partitionBy("_g").orderBy("_q")
+    counts = p.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_m"))
+    counts = counts.select("_g", "_q", F.sum("_m").over(Window.partitionBy("_g")).alias("_n"), (F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_m")).alias("_before"))
+    j = p.join(counts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_p").eqNullSafe(F.col("_q")))
+    r = F.row_number().over(Window.partitionBy("_g", "_q").orderBy(*h))
+    return j.withColumn("_r", F.col("_before") + r).drop("_g", "_q", "_p", "_before")
+
+
 def split_by_share(df: DataFrame, key: str, stratum: str, seed: int = 42, train: float = 0.7, dev: float = 0.15) -> DataFrame:
     """``split`` per row: within each stratum, in hash order, floored shares; strata of three
     and more have at least one train and one dev row, smaller ones are all train."""
-    w = Window.partitionBy(stratum)
-    r = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(*hash_order(key, seed))))
+    r = hash_ranked(df, stratum, key, seed)
     a = F.greatest(F.lit(1), F.floor(F.col("_n") * train))
     b = F.greatest(F.lit(1), F.floor(F.col("_n") * dev))
     return r.withColumn("split", F.when((F.col("_n") < 3) | (F.col("_r") <= a), "train").when(F.col("_r") <= a + b, "dev").otherwise("test")).drop("_n", "_r")
@@ -166,7 +179,7 @@ def stratified(df: DataFrame, key: str, stratum: str, target: int, seed: int = 4
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_t"))
     take = sizes.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(target)) / F.col("_t"))).alias("_k"))
-    r = ranked(df, [stratum], hash_order(key, seed)).join(take, stratum)
+    r = ranked(df, [stratum], hash_order(key, seed), target).join(take, stratum)  # no stratum takes more than the target
     return r.where("rank <= _k").drop("rank", "_k").orderBy(*hash_order(key, seed)).limit(target)
 
 

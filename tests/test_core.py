@@ -1,16 +1,18 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.functions import citations, dates, ids
 from plumbline.functions.text import clean_id, words
-from plumbline.operators import analyses, orphan_queries, orphans, ranking, retrieval, stats
+from plumbline.operators import analyses, grading, orphan_queries, orphans, ranking, retrieval, stats
 from plumbline.operators.metrics import per_query
 from plumbline.plans.shared import discard, materialize
 from plumbline.plans.sizing import maybe_broadcast, small
+from plumbline.sources import records
 
 
 def one(spark, value, expr, kind="string"):
@@ -167,7 +169,7 @@ def test_every_judged_pair_has_a_domain(spark, folder):
     p = [("W1", [("https://openalex.org/C55493867",)]), ("W2", [("C10",)]), ("W3", None)]
     l = [("A", "W1", 3), ("A", "W2", 0), ("B", "W2", 1), ("B", "W3", 2), ("C", "W1", 1), ("X", "W1", 1), (" A", "X ", 2)]
     d = folder(queries=spark.createDataFrame(q, "_id string, ipc_codes array<string>"), papers=spark.createDataFrame(p, "paper_id string, concepts array<struct<id: string>>"), consensus_labels=spark.createDataFrame(l, "statement_id string, doc_id string, consensus_score int"))
-    got = {(r.query_id, r.doc_id): r.domain_type for r in entry.queries()["join_qrels_domain"](spark, d).collect()}
+    got = {(r.query_id, r.doc_id): r.domain_type for r in entry.queries()["join_domain_overlap"](spark, d).collect()}
     assert {k for k, v in got.items() if v == "IN"} == {("A", "W1"), ("B", "W2")} and len(got) == 7
 
 
@@ -183,8 +185,126 @@ def test_booted_takes_the_default_draws():
 def test_shared_tables(spark):
     df = materialize(spark.range(10), "test")
     assert df.count() == 10 and small(df)
-    assert "broadcast" in maybe_broadcast(df)._jdf.queryExecution().toString().lower() or True
+    assert "ResolvedHint (strategy=broadcast)" in maybe_broadcast(df)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in maybe_broadcast(df, 1)._jdf.queryExecution().analyzed().toString()
+    by = materialize(spark.range(10).withColumn("k", F.col("id") % 3), "test", "k")
+    assert by.where("k = 1").count() == 4 and by.columns == ["id", "k"]
     discard(df)
+    discard(by)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from plumbline.plans.shared import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+
+
+def test_kendall_against_pairs():
+    r = np.random.RandomState(3)
+    for n in (1, 2, 3, 7, 40):
+        for top in (2, 5, 100):
+            x, y = r.randint(0, top, n), r.randint(0, top, n)
+            s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
+            a, b = (sum(v[i] != v[j] for i in range(n) for j in range(i)) for v in (x, y))
+            assert abs(analyses.tau_b(x, y) - (s / (a * b) ** 0.5 if a * b else 0)) < 1e-9
+
+
+def test_boot_classes():
+    cells = np.array([[30, 5, 0, 0], [2, 20, 3, 0], [0, 4, 10, 1], [0, 0, 2, 8]])
+    got = analyses.boot_classes(cells, 2000).set_index("measure")
+    assert abs(got.value["accuracy"] - 68 / 85) < 1e-9 and (got.lower < got.value).all() and (got.value < got.upper).all()
+    assert analyses.boot_classes(np.diag([3, 3, 3, 3]), 100).upper.tolist()[:1] == [1.0]
+    assert analyses.boot_classes(np.zeros((4, 4), int), 10).value.tolist() == [0, 0, 0]
+
+
+def test_hash_rank_is_the_rank(spark):
+    df = spark.createDataFrame([(f"k{i}", None if i % 7 == 0 else f"g{i % 3}") for i in range(500)], "k string, g string")
+    w = Window.partitionBy("g").orderBy(*ranking.hash_order("k", 9))
+    want = {r.k: (r.r, r.n) for r in df.select("k", F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy("g")).alias("n")).collect()}
+    assert {r.k: (r._r, r._n) for r in ranking.hash_ranked(df, "g", "k", 9).collect()} == want
+
+
+def test_matrix_gives_the_same_ranking(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{data}/eval_items.parquet").where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), "text")
+    want = ranking.ranked(retrieval.bm25(docs, items), ["query_id"], ranking.by_score(), 5)
+    key = lambda d: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in d.collect())
+    assert key(retrieval.bm25_top(docs, items, 5)) == key(want)
+    monkeypatch.setattr(retrieval, "MATRIX_CELLS", 20_000)  # several blocks of queries
+    assert key(retrieval.bm25_top(docs, items, 5)) == key(want)
+    none = retrieval.bm25_top(docs, items.limit(0), 5)
+    assert none.count() == 0 and retrieval.bm25_top(docs.limit(0), items, 5).count() == 0
+
+
+def test_query_sets_in_blocks(spark, monkeypatch):
+    rows = spark.range(50).select(F.col("id").alias("doc_id"))
+    asked = spark.range(9).select(F.col("id").alias("query_id"))
+    monkeypatch.setattr(retrieval, "small", lambda d: False)
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 200)
+    assert retrieval.against(rows, asked).distinct().count() == 450
+
+
+def test_approximate_search(spark, data):
+    """Every row is indexed, and recall against the exact search is 0.9 at least."""
+    v = spark.read.parquet(f"{data.replace('0.001', '0.01')}/embeddings.parquet")
+    _, rows = retrieval.inverted_file(v)
+    assert rows.count() == v.where("embedding is not null").count()
+    pair = lambda d: {(r.query_id, r.doc_id) for r in d.collect()}
+    exact, got = pair(retrieval.exact_search(v, 50, 10)), pair(retrieval.approximate_search(v, 50, 10))
+    assert len(exact & got) / len(exact) >= 0.9
+    assert retrieval.approximate_search(v.limit(0), 50, 10).count() == 0
+
+
+def test_numbers_over_ranges(spark):
+    from plumbline.operators.reports import numbered
+
+    df = spark.range(2000).select(F.format_string("id%05d", "id").alias("k")).repartition(5)
+    got = [r.code for r in numbered(df, ["k"], "RN", 101).orderBy("k").collect()]
+    assert got == [f"RN{n:03d}" for n in range(101, 2101)]
+
+
+def test_answers_of_models(spark):
+    from plumbline.operators.reports import reordered
+
+    window = spark.createDataFrame([("q", d, k) for k, d in enumerate("abc", 1)] + [("r", "x", 1), ("s", "y", 1), ("s", "z", 2)], "query_id string, doc_id string, rank int")
+    said = spark.createDataFrame([("q", '```json\n{"ranking": [3, 9, 1]}\n```'), ("r", "no"), ("s", '{"other": 1}')], "query_id string, answer string")
+    got = {(r.query_id, r.doc_id): round(r.score, 4) for r in reordered(window, said).collect()}
+    assert got == {("q", "c"): 1.0, ("q", "a"): 0.3333, ("r", "x"): 1.0, ("s", "y"): 1.0, ("s", "z"): 0.5}
+
+
+def test_grades(spark):
+    rows = [("examiner", 9, None, 2), ("examiner", 7, None, 1), ("examiner", 6, None, 0), ("applicant", 8, None, 1), ("applicant", 7, None, 0), ("office_action", 1, None, 1), ("applicant", 1, "102", 3), ("applicant", 1, "103", 2), (None, None, None, 0)]
+    df = spark.createDataFrame(rows, "s string, c int, r string, want int")
+    assert df.where(grading.grade(F.col("s"), F.col("c"), F.col("r")) != F.col("want")).count() == 0
+
+
+def test_records_of_registers(spark):
+    """Broken records give no row, a citation alone is a list of one, missing fields are empty."""
+    v = lambda *x: spark.createDataFrame([(y,) for y in x], "value string")
+    w = records.works(v('{"id": "https://x.example/W1", "abstract_inverted_index": {"b": [1, 3], "a": [0, 2]}}', "{", '{"title": "t"}')).collect()
+    assert [(r.paper_id, r.abstract, r.title, r.doi, r.authors) for r in w] == [("W1", "a b a b", "", None, [])]
+    one = '{"ops:world-patent-data":{"ops:register-search":{"reg:register-documents":{"reg:register-document":[{"reg:search-report-data":{"reg:citation":{"reg:nplcit":{"text":{"$":"T"}},"reg:rel-claims":"1-2, x, 7, 5-4"}}}]}}}}'
+    got = records.search_reports(v(one, "{}", None)).collect()
+    assert [(r.category, r.cited, r.is_patent, r.claims) for r in got] == [("A", "T", False, [1, 2, 7])]
+    assert records.search_reports_xml(v("<a/>", '<w xmlns:e="u"><e:search-report date="d"><e:citation category="X"><e:patcit><e:document-id><e:country>EP</e:country><e:doc-number>1</e:doc-number></e:document-id></e:patcit></e:citation></e:search-report></w>')).select("cited", "category", "date").collect()[0][:] == ("EP1", "X", "d")
+    assert records.alignments(v("<BlastOutput/>")).count() == 0
+
+
+def test_files_against_their_manifest(spark, tmp_path):
+    from plumbline.sources import files
+
+    d, m = f"{tmp_path}/d", f"{tmp_path}/m"
+    (tmp_path / "d").mkdir()
+    for n in "abc":
+        (tmp_path / "d" / n).write_text(n)
+    files.checksums(spark, d).write.json(m)
+    (tmp_path / "d" / "a").unlink(), (tmp_path / "d" / "b").write_text("x"), (tmp_path / "d" / "n").write_text("n")
+    assert {r.file: r.state for r in files.verified(spark, d, m).collect()} == {"a": "missing", "b": "changed", "c": "ok", "n": "new"}
 
 
 CORE = [n for n in entry.oracle_sql() if not n.startswith("p") or n.startswith("p2_") or n.startswith("prj_")]
