@@ -23,6 +23,7 @@ clean form, null ids give no item; empty tables give no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,6 +116,8 @@ def fit(patterns: DataFrame, n_annotators: int, labels: dict[int, int] | None =
         if last is not None and np.abs(conf - last).max() < TOLERANCE:
             break
         last = conf
+    else:
+        warnings.warn(f"confusion matrices not settled within {TOLERANCE} after {MAX_ROUNDS} rounds", stacklevel=2)
     return conf, prior
 
 
@@ -241,8 +244,16 @@ def p5_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tot.select("n_items", F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), F.round(F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected")), 6).alias("kappa"))
 
 
+def p5_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agreement stored with an item against the kind its votes show: items by both (null: none stored, or no votes)."""
+    stored = table(spark, sf_dir, "consensus_labels").where("agreement is not null").select(clean_id("statement_id").alias("statement_id"), clean_id("doc_id").alias("doc_id"), "agreement").where("statement_id is not null and doc_id is not null")
+    stored = stored.groupBy("statement_id", "doc_id").agg(F.min("agreement").alias("stored"))
+    both = stored.join(p5_agreement(spark, sf_dir), ["statement_id", "doc_id"], "full")
+    return both.groupBy("stored", F.col("agreement").alias("shown")).agg(F.count(F.lit(1)).alias("n_items"), F.round(F.avg("agreeing_pairs"), 6).alias("agreeing_pairs"))
+
+
 def queries():
-    return {"p5_found": p5_found, "p5_confidence": p5_confidence, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p5_kappa": p5_kappa}
+    return {"p5_stale": p5_stale, "p5_found": p5_found, "p5_confidence": p5_confidence, "p5_annotators": p5_annotators, "p5_agreement": p5_agreement, "p5_kappa": p5_kappa}
 
 
 def _clean(c: str) -> str:
@@ -260,6 +271,9 @@ i AS (SELECT s, d, sum(n) AS n, sum(n * (n - 1)) AS pairs, max(n) AS most, count
 
 def oracle_sql():
     return {
+        "p5_stale": _SQL + f""", a AS (SELECT s, d, CASE WHEN n > 1 THEN round(pairs::DOUBLE / (n * (n - 1))::DOUBLE, 9) END AS agreeing_pairs, CASE WHEN kinds = 1 THEN 'unanimous' WHEN 2 * most > n THEN 'majority' ELSE 'no_consensus' END AS shown FROM i),
+b AS (SELECT {_clean('statement_id')} AS s, {_clean('doc_id')} AS d, min(agreement) AS stored FROM consensus_labels WHERE agreement IS NOT NULL AND statement_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1, 2)
+SELECT stored, shown, count(*) AS n_items, round(avg(agreeing_pairs), 6) AS agreeing_pairs FROM b FULL JOIN a USING (s, d) GROUP BY 1, 2""",
         "p5_agreement": _SQL + """SELECT s AS statement_id, d AS doc_id, n::BIGINT AS n_votes,
   CASE WHEN n > 1 THEN round(pairs::DOUBLE / (n * (n - 1))::DOUBLE, 9) END AS agreeing_pairs,
   CASE WHEN kinds = 1 THEN 'unanimous' WHEN 2 * most > n THEN 'majority' ELSE 'no_consensus' END AS agreement FROM i""",
