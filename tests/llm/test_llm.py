@@ -275,6 +275,25 @@ def test_title_bound_holds():
         assert t <= m + 1e-9 and u <= k + 1e-9
 
 
+def test_authors_that_may_agree():
+    """No author is found that the bound rules out."""
+    r = random.Random(8)
+    first = ["Maria", "Mario", "M.", "Jo", "Johan", "Johann", "J. K.", "Ana-Maria", "Abcd", "Acbd", "ETH", "Li"]
+    last = ["Smith", "Smyth", "Zilbenbundin", "Zilbenbunidn", "Kelmor", "Kim", "Abcd", "Acbd", "Eidgen Tech Hochsch"]
+    name = lambda: " ".join(names.parse(f"{r.choice(first)} {r.choice(last)}")[0])
+    for _ in range(3000):
+        a, b = ([name() for _ in range(r.randint(1, 4))] for _ in range(2))
+        used = 0
+        free = list(b)
+        for t in a:  # without the bound: agreement name by name
+            hit = next((u for u in free if names.agreement(t.split(), u.split(), "".join(t.split()), "".join(u.split()), {}, {}) > 0 or matching._same_surname(t.split(), u.split())), None)
+            if hit is not None:
+                free.remove(hit)
+                used += 1
+        assert used <= matching.may_agree("|".join(a), "|".join(b))
+        assert matching.author_similarity(a, b, {})[0] == used
+
+
 def test_bound_of_log_odds():
     """The columns bound every pair's log odds, whatever its authors."""
     nan = float("nan")
