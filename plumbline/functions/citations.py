@@ -94,7 +94,7 @@ def claim_numbers(c: Column) -> Column:
 
 
 def rejection(c: Column) -> Column:
-    """102 or 103 by the statute named, else by keyword."""
+    """102 or 103 by the statute named, else by keyword. Patterns, keywords and their order are fixed values."""
     return (
         F.when(c.rlike(r"(?i)35\s*U\.?S\.?C\.?\s*§?\s*102|§?\s*102\s*\("), "102")
         .when(c.rlike(r"(?i)35\s*U\.?S\.?C\.?\s*§?\s*103|§?\s*103\s*\("), "103")
@@ -104,7 +104,7 @@ def rejection(c: Column) -> Column:
 
 
 def claim_kind(c: Column) -> Column:
-    """Category of a claim by ordered keyword rules."""
+    """Category of a claim by ordered keyword rules. Keywords and their order are fixed values."""
     t = F.lower(c)
     return (
         F.when(t.rlike("^(a method|a process|method of|process of)"), "method")
@@ -120,6 +120,7 @@ def claim_kind(c: Column) -> Column:
 
 
 def segment_kind(c: Column) -> Column:
+    """Part a segment plays in a claim. Keywords and their order are fixed values."""
     t = F.lower(c)
     return F.when(t.rlike("comprising|consisting|including"), "preamble").when(t.rlike("administering|contacting|treating|mixing"), "active_step").when(t.rlike("wherein|where|such that"), "condition").otherwise("component")
 

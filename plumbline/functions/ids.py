@@ -9,8 +9,8 @@ from ..plans.catalog import Catalogue
 from ..sources.tables import table
 
 #: Jurisdictions (fixed values).
-JURISDICTIONS = "US EP WO JP CN KR GB DE FR CA AU"
-_HEAD = "^(" + JURISDICTIONS.replace(" ", "|") + ")"
+JURISDICTIONS = ("US", "EP", "WO", "JP", "CN", "KR", "GB", "DE", "FR", "CA", "AU")
+_HEAD = "^(" + "|".join(JURISDICTIONS) + ")"
 
 
 def work_id(c: Column) -> Column:

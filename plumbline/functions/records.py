@@ -25,13 +25,25 @@ def classes(codes: Column) -> Column:
 
 #: Concepts and their classes (fixed values); the given tables' ids of up to three digits stand for the
 #: entry of their number's remainder.
-CONCEPT_CLASSES = (("C71924100", "A61"), ("C126322002", "A61B A61F"), ("C203014093", "A61K"), ("C502942594", "A61P"), ("C185592680", "C07"), ("C178790620", "C07D"), ("C55493867", "C07K"), ("C86803240", "C12"), ("C54355233", "C12N"), ("C104317684", "C12Q"), ("C76155785", "G01N"))
+CONCEPT_CLASSES = (
+    ("C71924100", ("A61",)),
+    ("C126322002", ("A61B", "A61F")),
+    ("C203014093", ("A61K",)),
+    ("C502942594", ("A61P",)),
+    ("C185592680", ("C07",)),
+    ("C178790620", ("C07D",)),
+    ("C55493867", ("C07K",)),
+    ("C86803240", ("C12",)),
+    ("C54355233", ("C12N",)),
+    ("C104317684", ("C12Q",)),
+    ("C76155785", ("G01N",)),
+)
 
 
 def concept_classes(concepts: Column) -> Column:
     """Classes of a list of concepts, by the tail of their ids; unknown concepts have none."""
     known = F.array(*(F.lit(k) for k, _ in CONCEPT_CLASSES))
-    listed = F.array(*(F.array(*(F.lit(c) for c in cs.split())) for _, cs in CONCEPT_CLASSES))
+    listed = F.array(*(F.array(*(F.lit(c) for c in cs)) for _, cs in CONCEPT_CLASSES))
 
     def of(x: Column) -> Column:
         tail = F.substring_index(x["id"], "/", -1)
@@ -110,7 +122,7 @@ def _sanitize(spark, d):
     return e.select("event_id", F.when(F.col("event_type").isNotNull(), F.col("m")["Token"]).alias("token"), F.when(F.col("event_type").isNotNull(), F.col("m")["APIkey"]).alias("apikey"), F.col("m")["user"].alias("user_id"))
 
 
-_MAP_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs.split())
+_MAP_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs)
 
 
 @CAT.query("fn_concept_ipc", f"WITH m(i, id, cls) AS (VALUES {_MAP_ROWS}), c AS (SELECT DISTINCT paper_id, regexp_extract(x.id, '[^/]*$') AS id FROM (SELECT paper_id, unnest(concepts) AS x FROM papers)) SELECT paper_id, string_agg(DISTINCT cls, ' ' ORDER BY cls) AS classes FROM c JOIN m ON m.id = c.id OR m.i = try_cast(nullif(regexp_extract(c.id, '^C([0-9]{{1,3}})$', 1), '') AS INT) % {len(CONCEPT_CLASSES)} GROUP BY 1")

@@ -178,7 +178,7 @@ def _ipc4(spark, d):
     return ranked(m, ["query_no"], hash_order("other", 42), 10).select("query_no", "other")
 
 
-_CLASS_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs.split())
+_CLASS_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs)
 
 
 @CAT.query("join_domain_overlap", withs("qrels") + f""", m(i, id, cls) AS (VALUES {_CLASS_ROWS}),
