@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_id
 from ..plans.catalog import Catalogue, rel, withs
 from ..sources.tables import table
-from .fusion import trimodal
+from .fusion import _MODAL, _TYPE, trimodal
 from .grading import agreed
 from .metrics import _sql, means, per_query
 from .ranking import by_score, ranked
@@ -338,7 +338,15 @@ def _gap(spark, d):
 # --- three modalities ------------------------------------------------------------------------
 
 
-@CAT.query("met_trimodal")
+_TRI = _MODAL + f""", f AS (SELECT query_id, doc_id, 0.4::DOUBLE * coalesce(x, 0) + 0.3::DOUBLE * coalesce(c, 0) + 0.3::DOUBLE * coalesce(s, 0) AS score, {_TYPE} AS match_type FROM p),
+tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f WHERE round(score, 9) >= 0.1 QUALIFY rank <= 100), """ + withs("qrels")[5:] + """, rq AS (SELECT split_part(query_id, '-', 1) AS query_id, doc_id, max(relevance)::DOUBLE AS g FROM qrels WHERE relevance > 0 GROUP BY 1, 2),
+id AS (SELECT query_id, count(*) AS n, sum(CASE WHEN r <= 10 THEN g / log2(r + 1) END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, doc_id) AS r FROM rq) GROUP BY 1),
+ht AS (SELECT query_id, count(*) AS h, sum(CASE WHEN rank <= 10 THEN g / log2(rank + 1) END) AS d FROM tp JOIN rq USING (query_id, doc_id) GROUP BY 1),
+me AS (SELECT round(avg(coalesce(d / best, 0)), 6) AS ndcg_10, round(avg(coalesce(h, 0)::DOUBLE / n), 6) AS recall_100, count(*) AS n_queries FROM id SEMI JOIN tp USING (query_id) LEFT JOIN ht USING (query_id))
+SELECT match_type, count(*) AS n_hits, any_value(ndcg_10) AS ndcg_10, any_value(recall_100) AS recall_100, any_value(n_queries) AS n_queries FROM tp, me GROUP BY 1"""
+
+
+@CAT.query("met_trimodal", _TRI)
 def _met_trimodal(spark, d):
     """NDCG and recall of the combined run of three modalities, and how many hits are of which match type."""
     hits = trimodal(spark, d)
