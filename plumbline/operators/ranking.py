@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalogue, rel, withs
+from ..plans.shared import materialize
 from ..sources.tables import table
 
 CAT = Catalogue()
@@ -113,13 +118,65 @@ def average_ranks(df: DataFrame, groups: list[str], value: Column, name: str = "
 @CAT.query("win_percentile_norm", """WITH e AS (SELECT event_type, event_id, value, quantile_cont(value, [0.05, 0.95]) OVER w AS q, count(*) OVER w AS n FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING))
 SELECT event_id, round(CASE WHEN n < 10 THEN CASE WHEN value > 1 THEN least(value / 25, 1.0) ELSE value END WHEN q[2] <= q[1] THEN 0.5 ELSE greatest(0.0, least(1.0, (value - q[1]) / (q[2] - q[1]))) END, 6) AS score FROM e""")
 def _percentile(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-1000, -1)
-    e = table(spark, d, "events").where("value is not null").select("event_type", "event_id", "value").withColumn("q", F.percentile("value", [0.05, 0.95]).over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    """A value's place between the 5th and 95th percentile of the thousand before it."""
+    e = table(spark, d, "events").where("value is not null").select("event_type", "event_id", "value")
+    e = moving_percentiles(e, "event_type", "event_id", "value", (0.05, 0.95), 1000)
     lo, hi, v = F.col("q")[0], F.col("q")[1], F.col("value")
     few = F.when(v > 1, F.least(v / 25, F.lit(1.0))).otherwise(v)
     return e.select("event_id", F.round(F.when(F.col("n") < 10, few).when(hi <= lo, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo)))), 6).alias("score"))
 
 
+def positions(df: DataFrame, group: str, order: str, tag: str) -> DataFrame:
+    """``pos`` of each row within its group in the order, from 0: ranges of the order are counted first, so no group is one task."""
+    parts = materialize(df.repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("_part", F.spark_partition_id()), tag)
+    counts = parts.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_q")).agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per group and range
+    counts = counts.select("_g", "_q", (F.sum("_m").over(w) - F.col("_m")).alias("_before"))
+    j = parts.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_q")))
+    r = F.row_number().over(Window.partitionBy("_g", "_q").orderBy(order))
+    return j.withColumn("pos", F.col("_before") + r - 1).drop("_g", "_q", "_part", "_before")
+
+
+#: Rows of a group that one task works on; as many as ``back`` of the block before come with them.
+MOVING_BLOCK = 20_000
+
+
+def moving_percentiles(df: DataFrame, group: str, order: str, value: str, at: tuple[float, ...], back: int) -> DataFrame:
+    """The rows with ``q`` (percentiles of the up to ``back`` rows before in the group's order, interpolated) and ``n`` (how
+    many those are). Groups are cut into blocks of positions, and the rows a block looks back on are sent to it too."""
+    block = max(MOVING_BLOCK, back)
+    p = positions(df.select(group, order, value), group, order, "moving")
+    k = F.floor(F.col("pos") / block)
+    mine = F.when(F.col("pos") % block >= block - back, F.array(k, k + 1)).otherwise(F.array(k))
+    dealt = p.withColumn("_block", F.explode(mine))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos", kind="stable")
+        first = int(rows["_block"].iloc[0]) * block
+        ring: deque = deque()
+        held: list[float] = []
+        q, n = [], []
+        for pos, v in zip(rows["pos"], rows[value]):
+            if pos >= first:
+                n.append(len(held))
+                q.append([_between(held, x) for x in at] if held else [None] * len(at))
+            ring.append(v)
+            insort(held, v)
+            if len(ring) > back:
+                held.pop(bisect_left(held, ring.popleft()))
+        own = rows[rows["pos"] >= first]
+        return own[[group, order, value]].assign(q=pd.Series(q, index=own.index, dtype=object), n=pd.Series(n, index=own.index, dtype="int64"))
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return dealt.groupBy(group, "_block").applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, {value} {kinds[value]}, q array<double>, n bigint")
+
+
+def _between(held: list[float], p: float) -> float:
+    k = p * (len(held) - 1)
+    lo = int(k)
+    return held[lo] + (k - lo) * (held[min(lo + 1, len(held) - 1)] - held[lo])
+
+
 def hash_ranked(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
     """``_r``, the rank in hash order within the group, and ``_n``, the group's rows. Rows are sorted within
     a prefix of the hash only, 4,096 to a group, and ranks go on from the counts of the prefixes

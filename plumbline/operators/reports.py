@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -14,7 +14,7 @@ from ..functions.text import clean_id, words
 from ..plans.catalog import Catalogue, rel, withs
 from ..sources.tables import table
 from .metrics import _sql, per_query
-from .ranking import by_score, hash_order, ranked
+from .ranking import by_score, positions, ranked
 from .stats import pearson
 
 CAT = Catalogue()
@@ -124,13 +124,10 @@ def updated(rows: DataFrame, news: DataFrame, keys: list[str], column: str) -> D
 def numbered(rows: DataFrame, order: list[str], prefix: str, first: int, width: int = 3) -> DataFrame:
     """Rows with ``code``: the prefix and their number in the order, from ``first``. Counts of ranges of the
     order are summed first, so that no task numbers all rows."""
-    from ..plans.shared import materialize
-
-    parts = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "numbered")
-    before = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")  # a row per partition
-    n = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + first - 1
+    one = positions(rows.withColumn("_all", F.lit(0)).withColumn("_key", F.struct(*order)), "_all", "_key", "numbered")
+    n = F.col("pos") + first
     text = n.cast("string")
-    return parts.join(F.broadcast(before), "_p").withColumn("code", F.concat(F.lit(prefix), F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")))).drop("_p", "_before")
+    return one.withColumn("code", F.concat(F.lit(prefix), F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0")))).drop("_all", "_key", "pos")
 
 
 @CAT.query("scale_merge", withs("qrels") + ", u AS (SELECT clean_id(statement_id) AS query_id, clean_id(doc_id) AS doc_id, max(relevance_score) AS v FROM relevance_judgments WHERE relevance_score BETWEEN 0 AND 3 AND model IS NOT NULL GROUP BY 1, 2) SELECT q.query_id, q.doc_id, coalesce(u.v, q.relevance) AS relevance, 'RN' || CASE WHEN row_number() OVER (ORDER BY q.query_id, q.doc_id) + 100 < 1000 THEN lpad(CAST(row_number() OVER (ORDER BY q.query_id, q.doc_id) + 100 AS VARCHAR), 3, '0') ELSE CAST(row_number() OVER (ORDER BY q.query_id, q.doc_id) + 100 AS VARCHAR) END AS code FROM qrels q LEFT JOIN u USING (query_id, doc_id)")

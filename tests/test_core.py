@@ -229,6 +229,21 @@ def test_hash_rank_is_the_rank(spark):
     assert {r.k: (r._r, r._n) for r in ranking.hash_ranked(df, "g", "k", 9).collect()} == want
 
 
+def test_moving_percentiles_in_blocks(spark, monkeypatch):
+    r = np.random.RandomState(1)
+    rows = [(g, i, float(r.randint(0, 50))) for g, m in (("a", 300), ("b", 7), (None, 40)) for i in range(m)]
+    df = spark.createDataFrame(rows, "g string, i bigint, v double").repartition(5)
+    monkeypatch.setattr(ranking, "MOVING_BLOCK", 25)
+    got = {(x.g, x.i): (x.n, x.q) for x in ranking.moving_percentiles(df, "g", "i", "v", (0.05, 0.95), 20).collect()}
+    assert len(got) == len(rows)
+    for g in ("a", "b", None):
+        v = [x[2] for x in rows if x[0] == g]
+        for i in range(len(v)):
+            n, q = got[g, i]
+            before = v[max(0, i - 20) : i]
+            assert n == len(before) and (not before or np.allclose(q, np.percentile(before, [5, 95])))
+
+
 def test_matrix_gives_the_same_ranking(spark, data, monkeypatch):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{data}/eval_items.parquet").where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), "text")
