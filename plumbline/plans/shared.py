@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Only on a single machine, as in tests, may it be unset:
     then a temporary one is made and set. A cluster without it is an error, since a folder of one
     machine would lose what the others need."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _set_on_context(spark)
     if not base:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that all executors share")
@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _set_on_context(spark: SparkSession) -> str | None:
+    """The folder that the session's owner gave to the context instead of the settings."""
+    get = getattr(spark.sparkContext, "getCheckpointDir", None)
+    return get() if get else None
+
+
 def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` once into the shared folder, in folders by a column if asked, and reads it back."""
     spark = df.sparkSession
