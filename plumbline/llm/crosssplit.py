@@ -72,7 +72,9 @@ def cross_pairs(cls: DataFrame, sides: DataFrame, threshold: float = THRESHOLD,
     text fills gives as many edges as members."""
     side = sides.select("uid", (F.col("train").cast("int") + 2 * F.col("held").cast("int")).alias("side"))
     signed = materialize(minwise(cls).join(side, "uid"), f"{tag}-bands")
-    stars = materialize(B.verified(star_edges(signed, "sides = 3", tag), cls, cls, min(LOOSE, threshold)), f"{tag}-stars")
+    edges = star_edges(signed, "sides = 3", tag)
+    stars = materialize(B.verified(edges, cls, cls, min(LOOSE, threshold)), f"{tag}-stars")
+    discard(edges)
     discard(signed)
     rest = completed(stars, side).join(stars.select("a", "b"), ["a", "b"], "left_anti")
     near = stars.where(F.col("similarity") >= threshold - 1e-9).select("a", "b").unionByName(B.verified(rest, cls, cls, threshold).select("a", "b"))

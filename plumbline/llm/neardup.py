@@ -136,7 +136,9 @@ def star_edges(signed: DataFrame, wanted: str = "true", tag: str = "stars") -> D
     one = materialize(one.where("a < b").where(wanted).select("key", "a", "b", "n"), f"{tag}-buckets")
     large = maybe_broadcast(one.where("n > 2").select("key", "a"))
     more = entries.select("key", F.col("uid").alias("b")).join(large, "key").where("a <> b").select("a", "b")
-    return one.where("n = 2").select("a", "b").unionByName(more).distinct()
+    edges = one.where("n = 2").select("a", "b").unionByName(more).distinct()
+    edges._plumbline_path = one._plumbline_path  # discarding the edges discards the buckets' table
+    return edges
 
 
 def completed(stars: DataFrame, sides: DataFrame | None = None) -> DataFrame:
@@ -154,7 +156,9 @@ def completed(stars: DataFrame, sides: DataFrame | None = None) -> DataFrame:
 def near_pairs(cls: DataFrame, threshold: float = THRESHOLD, tag: str = "neardup") -> DataFrame:
     """(a, b, similarity), a < b: all pairs of classes at or above the threshold."""
     signed = materialize(banded(cls).withColumn("side", F.lit(0)), f"{tag}-bands")
-    stars = materialize(B.verified(star_edges(signed, tag=tag), cls, cls, min(LOOSE, threshold)), f"{tag}-stars")
+    edges = star_edges(signed, tag=tag)
+    stars = materialize(B.verified(edges, cls, cls, min(LOOSE, threshold)), f"{tag}-stars")
+    discard(edges)
     discard(signed)
     direct = stars.where(F.col("similarity") >= threshold - 1e-9)
     rest = completed(stars).join(stars.select("a", "b"), ["a", "b"], "left_anti")
