@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -256,6 +257,29 @@ def test_matrix_gives_the_same_ranking(spark, data, monkeypatch):
     assert none.count() == 0 and retrieval.bm25_top(docs.limit(0), items, 5).count() == 0
 
 
+@pytest.mark.parametrize("idf", ["lucene", "okapi", "sum"])
+def test_blocks_give_the_same_ranking(spark, monkeypatch, idf):
+    # "all" is in every document and "half" in half of them, so that shared words may add less than nothing, or nothing
+    text = lambda i: " ".join(["all"] + ["half"] * (i % 2) + [f"a{i % 7}"] * (i % 3) + [f"b{i % 11}", f"c{i}"])
+    docs = spark.createDataFrame([(f"d{i}", text(i)) for i in range(60)] + [("none", None), ("blank", " ")], "doc_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", text(i) + " " + text(i + 5)) for i in range(25)] + [("frequent", "all"), ("half", "half half"), ("odd", "elsewhere"), ("none", None)], "query_id string, text string")
+    key = lambda d: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in d.collect())
+    want = key(ranking.ranked(retrieval.bm25(docs, asked, idf=idf), ["query_id"], ranking.by_score(), 5))
+    assert key(retrieval.bm25_best(docs, asked, 5, idf=idf)) == want
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(retrieval, "BLOCKS_A_TASK", 3)
+    for share in (0.02, 1.0):  # some terms in the dense product, or none
+        monkeypatch.setattr(retrieval, "DENSE_SHARE", share)
+        assert key(retrieval.bm25_best(docs, asked, 5, idf=idf)) == want
+    assert retrieval.bm25_best(docs, asked.limit(0), 5, idf=idf).count() == 0 and retrieval.bm25_best(docs.limit(0), asked, 5, idf=idf).count() == 0
+
+
+@pytest.mark.parametrize("name", ["ret_bm25_okapi"])
+def test_lexical_pairs_are_never_rows(spark, data, name):
+    plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[q#\d+L?, doc#", plan)
+
+
 def test_query_sets_in_blocks(spark, monkeypatch):
     rows = spark.range(50).select(F.col("id").alias("doc_id"))
     asked = spark.range(9).select(F.col("id").alias("query_id"))
