@@ -584,8 +584,7 @@ _lexical("ret_bm25_demo", f", b AS (SELECT query_id, doc_id, sum(ln((n - df + 0.
 @CAT.query("ret_idf_sum", _LEX + ", s AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1)) AS x FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2), b AS (SELECT query_id, doc_id, x / max(x) OVER (PARTITION BY query_id) AS score FROM s)" + _TOP10)
 def _idf_sum(spark, d):
     """Sum of the idf of shared terms as a share of the best document's. The best is the first of the ranking, so no second pass is needed."""
-    s = bm25(titled(rel(spark, d, "corpus1")), rel(spark, d, "q1").select("query_id", "text"), tokens=ws_tokens, idf="sum")
-    top = ranked(s, ["query_id"], by_score(), 10)
+    top = bm25_best(titled(rel(spark, d, "corpus1")), rel(spark, d, "q1").select("query_id", "text"), 10, tokens=ws_tokens, idf="sum")
     best = F.max("score").over(Window.partitionBy("query_id"))
     return top.withColumn("score", F.round(F.col("score") / best, 6))
 
