@@ -620,7 +620,7 @@ def _colbert(spark, d):
 @CAT.query("fus_hybrid", _LEX + f", l0 AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * {_TFW}) AS score FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY 1, 2), l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM l0 QUALIFY r <= 20), " + withs("scored")[5:] + ", g AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(avg(score), 9) DESC, doc_id) AS r FROM scored GROUP BY 1, 2 QUALIFY r <= 20), b AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM g) GROUP BY 1, 2)" + _TOP10)
 def _hybrid(spark, d):
     """Lexical search and a second scorer, twice as deep as asked for, fused by reciprocal rank and cut. The judges' mean score stands for the encoder's."""
-    lexical = ranked(bm25(titled(rel(spark, d, "corpus1")), rel(spark, d, "q1").select("query_id", "text"), tokens=ws_tokens), ["query_id"], by_score(), 20)
+    lexical = bm25_best(titled(rel(spark, d, "corpus1")), rel(spark, d, "q1").select("query_id", "text"), 20, tokens=ws_tokens)
     other = ranked(rel(spark, d, "scored").groupBy("query_id", "doc_id").agg(F.avg("score").alias("score")), ["query_id"], by_score(), 20)
     both = lexical.select("query_id", "doc_id", "rank").unionByName(other.select("query_id", "doc_id", "rank"))
     fused = both.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (F.lit(60.0) + F.col("rank"))).alias("score"))

@@ -274,7 +274,7 @@ def test_blocks_give_the_same_ranking(spark, monkeypatch, idf):
     assert retrieval.bm25_best(docs, asked.limit(0), 5, idf=idf).count() == 0 and retrieval.bm25_best(docs.limit(0), asked, 5, idf=idf).count() == 0
 
 
-@pytest.mark.parametrize("name", ["ret_bm25_okapi", "ret_bm25_demo", "ret_idf_sum"])
+@pytest.mark.parametrize("name", ["ret_bm25_okapi", "ret_bm25_demo", "ret_idf_sum", "fus_hybrid"])
 def test_lexical_pairs_are_never_rows(spark, data, name):
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"keys=\[q#\d+L?, doc#", plan)
