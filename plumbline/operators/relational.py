@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import insort
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.records import CONCEPT_CLASSES, concept_classes
 from ..functions.text import clean_id
 from ..plans.catalog import Catalogue, rel, withs
+from ..plans.shared import materialize
 from ..plans.sizing import maybe_broadcast
 from ..sources.tables import table
 
@@ -164,6 +168,49 @@ def _overlap(spark, d):
     return c.join(wanted, "concept", "left_semi").select("paper_id").distinct().join(pos, "paper_id", "left_anti")
 
 
+#: Earlier candidates that a query is given, and salts that the rows of a class are read in.
+IPC4_BEST, IPC4_SALTS = 10, 16
+
+
+def _least_by_day(keys: list[str], k: int):
+    """Rows sorted by the keys and by day; yields those that come among the least by (h, other), and the day until which they stay."""
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            out = []
+            for row in zip(*(b[c] for c in keys), b["h"], b["other"], b["oid"], b["op"]):
+                at, x = row[: len(keys)], row[len(keys) :]
+                if at != key:
+                    out.extend((*key, *h, None) for h in held)
+                    key, held = at, []
+                insort(held, x)
+                own = [h for h in held if h[2] == x[2]]
+                # 2 k rows, k of one oid at most, hold the k least without the rows of any one oid
+                gone = own[-1] if len(own) > k else held[-1] if len(held) > 2 * k else None
+                if gone is not None:
+                    held.remove(gone)
+                    if gone[3] < x[3]:  # else no day lies between
+                        out.append((*key, *gone, x[3]))
+            yield _held(out, keys)
+        yield _held([(*key, *h, None) for h in held], keys)
+
+    return run
+
+
+def _held(rows: list[tuple], keys: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[*keys, "h", "other", "oid", "op", "until"])
+
+
+def least_by_day(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Rows (ipc4, other, oid, op, h) that for some day are among the k least by (h, other) of their group before that
+    day, whatever one oid is left out, with the day ``until`` which they may be (null: for good)."""
+    d = rows.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(IPC4_SALTS)).cast("int")).select("ipc4", "salt", "h", "other", "oid", "op")
+    kinds = dict(d.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "h", "other", "oid", "op"]) + ", until date"
+    return d.repartition(*keys).sortWithinPartitions(*keys, "op").mapInPandas(_least_by_day(keys, k), schema)
+
+
 @CAT.query("join_ipc4_nonequi", """WITH q AS (SELECT clean_id(_id) AS id, query_no, parse_day(priority_date) AS p, ipc_codes AS codes FROM queries), f AS (SELECT id, query_no, p, substr(codes[1], 1, 4) AS ipc4 FROM q WHERE len(codes) > 0),
 e AS (SELECT DISTINCT query_no, id, p, substr(unnest(codes), 1, 4) AS ipc4 FROM q),
 m AS (SELECT f.query_no, e.query_no AS other, row_number() OVER (PARTITION BY f.query_no ORDER BY md5('42:' || e.query_no), e.query_no) AS r FROM f JOIN e ON e.ipc4 = f.ipc4 AND e.id <> f.id AND e.p < f.p)
@@ -172,10 +219,17 @@ def _ipc4(spark, d):
     q = table(spark, d, "queries").select(clean_id("_id").alias("id"), "query_no", parse_date(F.col("priority_date")).alias("p"), "ipc_codes").where("p is not null")
     f = q.where("size(ipc_codes) > 0").select("id", "query_no", "p", F.substring(F.get("ipc_codes", F.lit(0)), 1, 4).alias("ipc4"))
     e = q.select(F.col("id").alias("oid"), F.col("query_no").alias("other"), F.col("p").alias("op"), F.explode("ipc_codes").alias("code")).select("oid", "other", "op", F.substring("code", 1, 4).alias("ipc4")).distinct()
-    m = f.join(e, "ipc4").where("oid <> id and op < p").select("query_no", "other")
     from .ranking import hash_order, ranked
 
-    return ranked(m, ["query_no"], hash_order("other", 42), 10).select("query_no", "other")
+    f = f.where("id is not null").withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("query_no")))
+    e = e.where("oid is not null").withColumn("h", F.md5(F.concat(F.lit("42:"), F.col("other").cast("string"))))
+    # each salt of a class by itself, then what they leave: so no class is one task
+    held = least_by_day(least_by_day(e, ["ipc4", "salt"], IPC4_BEST), ["ipc4"], IPC4_BEST)
+    held = materialize(held.groupBy("ipc4").agg(F.array_sort(F.collect_list(F.struct("h", "other", "oid", "op", "until"))).alias("held")), "ipc4-held")
+    good = F.filter("held", lambda x: (x["oid"] != F.col("id")) & (x["op"] < F.col("p")) & F.coalesce(F.col("p") <= x["until"], F.lit(True)))
+    m = f.join(maybe_broadcast(held), "ipc4").select("query_no", "same", F.explode(F.transform(F.slice(good, 1, IPC4_BEST), lambda x: x["other"])).alias("other"))
+    several = ranked(m.where("same > 1"), ["query_no"], hash_order("other", 42), IPC4_BEST)
+    return m.where("same = 1").select("query_no", "other").unionByName(several.select("query_no", "other"))
 
 
 _CLASS_ROWS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, cs) in enumerate(CONCEPT_CLASSES) for c in cs)

@@ -280,6 +280,21 @@ def test_lexical_pairs_are_never_rows(spark, data, name):
     assert not re.search(r"keys=\[q#\d+L?, doc#", plan)
 
 
+def test_earlier_of_a_class_are_never_all_pairs(spark, folder):
+    # 30 ids of many rows each, two of them far more than are asked for, in one class
+    day = lambda i: f"{2000 + i * 7 % 20}-{1 + i % 12:02d}-01"
+    rows = [(i, f"Q{i % 30 if i % 3 else i % 2}", day(i), ["A61K1/2", "A61K9/9"][: 1 + i % 2]) for i in range(400)]
+    rows += [(7, "Q9", "2011-05-05", ["A61K1/2"]), (500, None, "1990-01-01", ["A61K1/2"]), (501, "Q1", None, ["A61K1/2"]), (502, "Q1", "2030-01-01", []), (503, "Q1", "2030-01-01", None)]
+    d = folder(queries=spark.createDataFrame(rows, "query_no bigint, _id string, priority_date string, ipc_codes array<string>"))
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view queries as select * from '{d}/queries.parquet/*.parquet'")
+    got = entry.queries()["join_ipc4_nonequi"](spark, d)
+    assert "ipc4-held" in " ".join(got.inputFiles())  # of a class, only rows that can be chosen are joined
+    want = con.execute(entry.oracle_sql()["join_ipc4_nonequi"]).fetchall()
+    assert len(want) > 3000 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_query_sets_in_blocks(spark, monkeypatch):
     rows = spark.range(50).select(F.col("id").alias("doc_id"))
     asked = spark.range(9).select(F.col("id").alias("query_id"))
