@@ -247,6 +247,19 @@ def test_matching_by_frequent_words(spark, folder):
     assert {(r.citation_id, r.paper_id) for r in matching.p1_found(spark, d).collect()} == {(1, "W1"), (2, "W2")}
 
 
+def test_matching_by_frequent_words_alone(spark, folder):
+    """A title of words that are all in more than RARE papers finds its paper without author, journal and year."""
+    p = [("W1", "Colitis saliva enterocytes", ["Olvira Zobasbodan"], "Archives of Peptide Dynamics", "2005"), ("W2", "Sepsis", None, None, None)]
+    more = [(f"S{i}", f"Sepsis x{i}", None, None, None) for i in range(45)]
+    c = [(1, "P", "Colitis saliva enterocytes", None, None, None, None), (2, "Q", "colitis saliva", None, None, None, None), (3, "R", "Sepsis", None, None, None, None)]
+    d = folder(papers=spark.createDataFrame(p + more + often(), PAPERS), parsed_citations=spark.createDataFrame(c, CITED))
+    cit, pap = matching.records(matching._citations(spark, d), matching._papers(spark, d))
+    pairs = matching.weighted(cit, pap)[2]
+    got = {(r.a, r.b) for r in pairs.join(cit.select(F.col("n").alias("c"), F.col("id").alias("a")), "c").join(pap.select(F.col("n").alias("p"), F.col("id").alias("b")), "p").collect()}
+    assert {("1", "W1"), ("2", "W1"), ("3", "W2")} <= got
+    assert ("1", "W1") in {(str(r.citation_id), r.paper_id) for r in matching.p1_found(spark, d).collect()}
+
+
 def test_matching_without_title(spark, folder):
     """Author and year, author and journal, or authors alone suffice, whatever a damaged field says."""
     six = [f"{g} {s}" for g, s in zip(["Olvira", "Hadrik", "Calliste", "Gerwald", "Lucella", "Silvane"], ["Zobasbodan", "Barmarbeme", "Zintesrerne", "Pospolporpon", "Sofurnanze", "Haszasperji"])]
