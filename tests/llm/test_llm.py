@@ -547,6 +547,46 @@ def test_names_in_blocks_of_any_size(spark, monkeypatch, rows):
     assert sorted(map(sorted, got.values())) == sorted(sorted(spell(g)) for g in given)
 
 
+def test_names_that_share_no_rare_word_meet(spark):
+    """Spellings that agree are compared whatever the frequency of the words they share, misspelt ones too."""
+    others = [f"{g} Kolp" for g in ("Albert", "Cornelia", "Dorothea", "Emilio", "Friedrich", "Heloise")] + [f"Annemarie {w}" for w in ("Zilben", "Mornak", "Fusgal", "Tirdol", "Venhas", "Rospun", "Galmir")]
+    pairs = [("Bernadottina Kolp", "B. Kolp"), ("Annemarie Gupta", "Annemarie Gupat"), ("Annemarie T. Stolzenberg", "Stolzenbreg A")]
+    rows = spark.createDataFrame([(n, 1) for n in [*others, *itertools.chain(*pairs)]], "name string, n bigint")
+    got = {r.name: r.author for r in names.authors(rows).collect()}
+    assert all(got[a] == got[b] for a, b in pairs)
+    assert len({got[n] for n in others} | {got[a] for a, _ in pairs}) == len(others) + len(pairs)
+
+
+def test_name_blocks_hold_every_agreeing_pair(spark):
+    """Every two names that agree, by brute force, share a block that compares them."""
+    r = random.Random(11)
+    given, last = ["Maria", "Mario", "Johan", "Jon", "Kelvan", "Norvin", "Corvin"], ["Smith", "Smyth", "Kelmor", "Tol", "Tolgar", "Institute", "Corvin"]
+    one = lambda w: r.choice([w, w, w[0] + ".", w[:3], w[:2].upper()])
+    every = sorted({f"{one(r.choice(given))} {one(r.choice(last))}" + r.choice(["", "", f" {one(r.choice(given + last))}", f"-{r.choice(last)}"]) for _ in range(250)})
+    parsed = [names.parse(n) for n in every]
+    words = {t.strip("-*") for p, _ in parsed for t in p if not t.endswith("*")}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    close = names.near_tokens(frame([(i, t) for i, t in enumerate(sorted(words))], "name_id bigint, token string"))
+    alts = [("jon", "johan"), ("tol", "maria")]
+    found = names.token_marks(frame([(t,) for t in words], "token string"), close, frame([], "token string, root string"), frame(alts, "token string, given string"))
+    marks = {m.token: [tuple(e) for e in m.marks] for m in found.collect()}
+    given_of = {a: {g for b, g in alts if a == b} for a, _ in alts}
+    df = Counter(t.strip("-*") for p, _ in parsed for t in p)
+    told, firm, keys = {}, [], []
+    for p, letters in parsed:
+        long = [t.strip("-") for t in p if len(t.strip("-*")) > 3 and not t.endswith("*")]
+        firm.append({t: 2 for t in long if df[t] == min(df[u] for u in long)})
+        told = {t.strip("-*"): (t.strip("-*"), df[t.strip("-*")], firm[-1].get(t.strip("-*"), 0), marks.get(t.strip("-*"), [])) for t in p}
+        keys.append(names._name_keys(p, letters, told))
+    n = 0
+    for i, j in itertools.combinations(range(len(every)), 2):
+        (a, sa), (b, sb) = parsed[i], parsed[j]
+        if names.agreement(a, b, sa, sb, {}, given_of, (firm[i], firm[j])) > 0 and not names.near(sa, sb):
+            n += 1
+            assert any(names._met(keys[i][k], keys[j][k]) for k in keys[i].keys() & keys[j].keys()), (every[i], every[j])
+    assert n > 100
+
+
 def test_sql(spark, data):
     from test_core import same
 
