@@ -159,6 +159,8 @@ def bm25_top(docs: DataFrame, qs: DataFrame, k: int, k1: float = 1.5, b: float =
 
 #: Documents or queries in a block, about, blocks of documents that one task takes in turn, and blocks of queries at least.
 BLOCK_ROWS, BLOCKS_A_TASK, MANY_TASKS = 4096, 8, 12
+#: Occurrences of terms in pairs that a task adds up at once: with blocks of BLOCK_ROWS, all at once were most of its memory.
+SHARED_AT_ONCE = 1 << 20
 #: A term that this share of all pairs has in common is a column of the dense product; the others are joined.
 DENSE_SHARE = 1e-3
 _BLOCK = "block int, ids binary, starts binary, terms binary, u binary, tf binary, x binary"
@@ -213,12 +215,22 @@ def _product(q: _Rows, d: _Rows, qw: np.ndarray, dw: np.ndarray, dense: np.ndarr
     s = np.ascontiguousarray(a @ b.T)
     lo = np.searchsorted(qt, dt, "left")
     n = np.searchsorted(qt, dt, "right") - lo
-    e = np.repeat(np.arange(len(dt)), n)
-    f = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    np.add.at(s.reshape(-1), qr[f].astype(np.int64) * len(d.ids) + dr[e], qv[f] * dv[e])
+    end, at = np.cumsum(n), 0
+    while at < len(dt):  # a bounded number of shared occurrences at once, or those of one row
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + SHARED_AT_ONCE, "right")))
+        m = n[at:to]
+        e = np.repeat(np.arange(at, to), m)
+        f = np.arange(len(e)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[at:to], m)
+        np.add.at(s.reshape(-1), qr[f].astype(np.int64) * len(d.ids) + dr[e], qv[f] * dv[e])
+        at = to
     return s
 
 
+def _kth_of_rows(s: np.ndarray, rows: np.ndarray, k: int, chunk: int = 256) -> np.ndarray:
+    """The k-th greatest of each of the rows, copied some at a time."""
+    return np.concatenate([np.partition(s[rows[at : at + chunk]], s.shape[1] - k, axis=1)[:, -k] for at in range(0, len(rows), chunk)])
+
+
 def _exactly(q: _Rows, docs: list[_Rows], qw: np.ndarray, dws: list[np.ndarray], i: np.ndarray, at: np.ndarray, j: np.ndarray, chunk: int = 256) -> np.ndarray:
     """Scores in double precision of the pairs (query i, document j of block ``at``)."""
     out = np.zeros(len(i))
@@ -288,8 +300,7 @@ def _best_of_blocks(dense: np.ndarray, k: int, k1: float, b: float, avgdl: float
                     s[_product(q, d, np.ones(len(q.u)), np.ones(len(d.u)), dense) < 0.5] = -np.inf
                 open_ = np.flatnonzero(np.isinf(least))
                 if len(open_) and s.shape[1] > k:
-                    part = s if len(open_) == len(s) else s[open_]
-                    least[open_] = np.partition(part, part.shape[1] - k, axis=1)[:, -k] - 2 * err[open_]
+                    least[open_] = _kth_of_rows(s, open_, k) - 2 * err[open_]
                 bound = np.where(np.isinf(least) | signed, np.maximum(least, np.finfo(np.float32).min), np.maximum(least, 0.0))
                 # down to the next single number, so that rounding the bound itself rules nothing out
                 bound = np.nextafter(bound.astype(np.float32), np.float32(-np.inf))

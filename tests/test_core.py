@@ -274,6 +274,32 @@ def test_blocks_give_the_same_ranking(spark, monkeypatch, idf):
     assert retrieval.bm25_best(docs, asked.limit(0), 5, idf=idf).count() == 0 and retrieval.bm25_best(docs.limit(0), asked, 5, idf=idf).count() == 0
 
 
+def test_product_of_blocks_in_bounded_memory(monkeypatch):
+    """Sums over shared terms are the same, and what is held at once is bounded, however many occurrences two blocks share."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    rows, terms, each = 500, 400, 100
+
+    def block():
+        b = object.__new__(retrieval._Rows)
+        b.ids, b.terms, b.starts = np.arange(rows), np.arange(terms), np.arange(rows + 1) * each
+        b.u = np.concatenate([np.sort(r.choice(terms, each, replace=False)) for _ in range(rows)])
+        b.row = np.repeat(np.arange(rows), each)
+        return b
+
+    q, d, none = block(), block(), np.empty(0, np.int64)
+    qw, dw = r.random(rows * each), r.random(rows * each)
+    x, y = np.zeros((rows, terms)), np.zeros((rows, terms))
+    x[q.row, q.u], y[d.row, d.u] = qw, dw
+    monkeypatch.setattr(retrieval, "SHARED_AT_ONCE", 50_000, raising=False)
+    tracemalloc.start()
+    got = retrieval._product(q, d, qw, dw, none)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, x @ y.T, rtol=1e-4) and peak < 20 << 20  # 6.25 million shared occurrences, 8 bytes each
+
+
 @pytest.mark.parametrize("name", ["ret_bm25_okapi", "ret_bm25_demo", "ret_idf_sum", "fus_hybrid"])
 def test_lexical_pairs_are_never_rows(spark, data, name):
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
