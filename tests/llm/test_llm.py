@@ -319,6 +319,36 @@ def test_bound_of_log_odds():
                         assert matching.log_odds(title, (n, people, people) if people else None, journal, year) <= top + 1e-9
 
 
+def test_sketches_leave_every_match_open():
+    """Bounds from sketches rule out no pair that the texts keep, count no fewer authors, and rule out most of the others."""
+    r = random.Random(12)
+    first = ["Olvira", "Hadrik", "O.", "Calliste", "ETH", "Li", "Ana-Maria", "Verenka"]
+    last = ["Zobasbodan", "Zobasbodna", "Barmarbeme", "Barmarbme", "Zintesrerne", "Kim", "Abcd", "Acbd", "Eidgen Tech Hochsch", "Vander Berg", "Vanderberg", "Gosvirnelhas-Rasmer"]
+    words = [(w, r.randint(100, 900)) for w in ["colitis", "colitsi", "saliva", "salivary", "of", "the", "enterocytes", "enterocyte", "leldinrase", "henhermide", "assay", "asay", "sepsis", "septic", "ab12"] + VOCABULARY[:40]]
+    title = lambda: r.choice([None, " ".join(f"{w} {v}" for w, v in r.sample(words, r.randint(1, 9)))] + 6 * [" ".join(f"{w} {v}" for w, v in r.sample(words, r.randint(2, 9)))])
+    people = lambda: "|".join(" ".join(names.parse(f"{r.choice(first)} {r.choice(last)}")[0]) for _ in range(r.choice([0, 1, 2, 3, 4, 30]))) or None
+    journal = lambda: r.choice([None, "", "archives of peptide dynamics", "arch. pept. dyn.", "letters on toxin studies", "lett tox stud", "notes"])
+    rows = [(k, k, title(), people(), journal(), r.choice([None, 1999, 2000, 2009]), title(), people(), journal(), r.choice([None, 2000, 2001, 2011])) for k in range(6000)]
+    for k in range(0, 6000, 3):  # true cases among them
+        rows[k] = (*rows[k][:6], *rows[k][2:6])
+    columns = list(zip(*rows))
+    kinds = ["int64", "int64", "string", "string", "string", "int64", "string", "string", "string", "int64"]
+    b = dict(zip(["c", "p", "ct", "cn", "cj", "cy", "pt", "pn", "pj", "py"], (pa.array(x, k) for x, k in zip(columns, kinds))))
+    sketched = {"cf": pa.array([matching.sketch(x[2], x[3], 0) for x in rows], pa.binary()), "pf": pa.array([matching.sketch(x[6], x[7], 65535) for x in rows], pa.binary())}
+    batch = pa.RecordBatch.from_pydict(b | sketched)
+    kept = {c: agree for part in (batch.slice(0, 2500), batch.slice(2500)) for out in matching._open(iter([part])) for c, agree in zip(out.column("c").to_pylist(), out.column("agree").to_pylist())}
+    true = set()
+    for k, _, ct, cn, cj, cy, pt, pn, pj, py in rows:
+        t = matching.title_similarity(*matching._read_title(ct), *matching._read_title(pt)) if ct and pt else None
+        a = matching.author_similarity(cn.split("|"), pn.split("|"), {}) if cn and pn else None
+        j = matching.journal_similarity(matching.journal_words(cj), matching.journal_key(cj), matching.journal_words(pj), matching.journal_key(pj))
+        s = matching.log_odds(t, a, j, None if cy is None or py is None else abs(cy - py))
+        if s > matching.MIN_LOG_ODDS:
+            true.add(k)
+            assert k in kept and (a is None or a[0] <= kept[k])
+    assert len(true) > 1000 and len(kept) < 5000
+
+
 def test_propagation_keeps_one_paper(spark):
     pairs = spark.createDataFrame([(1, 1, "P", 4.0), (1, 2, "P", 2.0), (2, 2, "P", 3.0), (3, 3, None, -1.0)], "c bigint, p bigint, patent string, s double")
     got = {(r.c, r.p): r.confidence for r in matching.propagate(pairs).collect()}
