@@ -349,6 +349,51 @@ def test_sketches_leave_every_match_open():
     assert len(true) > 1000 and len(kept) < 5000
 
 
+def test_bounds_of_long_words_and_capitals():
+    """Words with a common ending, and names of which one has capitals, count as alike only if they may be."""
+    r = random.Random(3)
+
+    def bound(ct, cn, pt, pn):
+        c, p = (matching.Sketches(pa.array([1]), pa.array([matching.sketch(t, n, blank)], pa.binary()), pa.array([None], pa.string()), pa.array([2000]), blank) for t, n, blank in ((ct, cn, 0), (pt, pn, 65535)))
+        at = np.array([0])
+        return matching.titles_at_most(c, p, at, at)[0][0], matching.names_at_most(c, p, at, at)[0]
+
+    assert bound("halikulase 500", "sulvinbardo dn*", "purbarraase 500", "perrine henduzensu") == (0, 0)
+    assert bound("halikulase 500", "eth*", "hailkulase 500", "eidgen tech hochsch") == (1, 1)
+    assert bound("of 500", "eidgen tech hochsch", "of 500", "eth*") == (1, 1)
+    for _ in range(2000):
+        w = "".join(r.choice("abcdefgh") for _ in range(r.randint(4, 13)))
+        k = r.randrange(len(w) - 1)
+        u = r.choice([w[:k] + w[k + 1 :], w[:k] + "z" + w[k + 1 :], w[:k] + "z" + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :], w + "s"])
+        t = matching.title_similarity([w], [5.0], [u], [5.0])[0]
+        assert t <= bound(f"{w} 500", None, f"{u} 500", None)[0]
+
+
+def test_meetings_by_author_are_complete(spark, folder):
+    """Every pair that shares an author with the year, the journal or a second author, and isn't ruled out, is met, wherever its records are."""
+    r = random.Random(4)
+    last = [f"{v}on" for v in VOCABULARY[:25] if len(v) > 3]
+    one = lambda: (" ".join(r.sample(VOCABULARY, 4)), [f"Olvira {x}" for x in r.sample(last, 3)], r.choice([None, "Notes", "Letters on Toxin Studies"]), r.choice([None, 2000, 2001, 2009]))
+    p = [(f"W{i}", t, a, j, y and str(y)) for i in range(80) for t, a, j, y in [one()]]
+    c = [(i, "P", None if i % 2 else t, a, j, y, None) for i in range(80) for t, a, j, y in [one()]]
+    d = folder(papers=spark.createDataFrame(p, PAPERS), parsed_citations=spark.createDataFrame(c, CITED))
+    cs, ps, _, readings, _ = matching.weighted(*matching.records(matching._citations(spark, d), matching._papers(spark, d)))
+    met = {(x.c, x.p) for x in matching.candidates(cs, ps, readings).collect()}
+    wanted = 0
+    for x in cs.collect():
+        for y in ps.collect():
+            both = len(set(x.ckeys) & set(y.pkeys))
+            year = None if x.cy is None or y.py is None else abs(x.cy - y.py)
+            if both > 1 or (both and ((year is not None and year < 2) or (x.ck and x.ck == y.pk))):
+                t = matching.title_similarity(*matching._read_title(x.ct), *matching._read_title(y.pt)) if x.ct else None
+                a = matching.author_similarity(x.cn.split("|"), y.pn.split("|"), {})
+                j = None if not (x.cj and y.pj) else matching.journal_similarity(matching.journal_words(x.cj), x.ck, matching.journal_words(y.pj), y.pk)
+                if matching.log_odds(t, a, j, year) > matching.MIN_LOG_ODDS:
+                    wanted += 1
+                    assert (x.c, y.p) in met
+    assert wanted > 50
+
+
 def test_propagation_keeps_one_paper(spark):
     pairs = spark.createDataFrame([(1, 1, "P", 4.0), (1, 2, "P", 2.0), (2, 2, "P", 3.0), (3, 3, None, -1.0)], "c bigint, p bigint, patent string, s double")
     got = {(r.c, r.p): r.confidence for r in matching.propagate(pairs).collect()}
